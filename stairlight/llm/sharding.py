@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 
 def _numbered(rows: DataFrame, group: list[str], key: str, ties: list[str], buckets: int, out: str) -> DataFrame:
@@ -42,7 +42,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str = "doc_
     random = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "source"), 12) / F.lit(float(1 << 52))
     rows = scratch.table(rows.withColumn("random", random), "rows")
     total = rows.count()
-    buckets = max(16, total // bucket_rows)
+    buckets = max(16, 4 * partitions(spark), total // bucket_rows)
     ranked = _numbered(rows, ["source"], "random", ["doc_id", "text_crc32"], buckets, "rank")
     of = rows.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_rows"))
     ranked = ranked.join(of, F.col("source").eqNullSafe(F.col("_s"))).withColumn("fraction", (F.col("rank") + 0.5) / F.col("_rows")).drop("_s", "_rows", "random")
