@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, fingerprints, language_id, packing, quality, sharding, warc
+from . import decontamination, fingerprints, language_id, near_dedup, packing, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprints(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", fingerprints.as_text("sketch").alias("fingerprint"), fingerprints.as_text("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_decontamination, op7_fingerprints, op8_quality, op9_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_decontamination, op6_near_dedup, op7_fingerprints, op8_quality, op9_language_id, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
