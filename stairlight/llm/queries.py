@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, fingerprints, language_id, near_dedup, packing, quality, sharding, substring_dedup, warc
+from . import decontamination, fingerprints, katz, language_id, near_dedup, packing, quality, sharding, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_read(spark, sf_dir, "documents"), train="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(_read(spark, sf_dir, "documents"), window=20)
 
@@ -63,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_decontamination, op5_substring_dedup, op6_near_dedup, op7_fingerprints, op8_quality, op9_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_sharding, op3_decontamination, op4_katz, op5_substring_dedup, op6_near_dedup, op7_fingerprints, op8_quality, op9_language_id, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
