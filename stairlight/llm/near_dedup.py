@@ -113,18 +113,17 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs (a, b) that survive, with their equal hashes."""
+    """Pairs (a, b) that survive."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = _signatures(batch.column(2)), _signatures(batch.column(3))
                 keep = plausible(left, right, least)
-                equal = (left[keep] == right[keep]).sum(1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(equal)], ["a", "b", "equal"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
 
     one = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     two = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, equal int")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,7 +193,7 @@ def _blocks(rows: DataFrame, sigs: DataFrame, least: list[int], size: int) -> Da
     return spread.select(*names).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of its component) and kept (it is that one) of every row."""
     scratch, least = Scratch(docs.sparkSession, "near-dedup"), least_matches(percent / 100, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -224,12 +223,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
             break
         held = rows.select("key", "band", "member")  # buckets of one component are done
         if turn < rounds:
-            pairs = rows.filter("member <> hub.member and comp <> hub.comp").select(F.least("member", F.col("hub.member")).alias("a"), F.greatest("member", F.col("hub.member")).alias("b")).distinct()
-            found = scratch.table(_pruned(pairs, sigs, least), f"pairs-{turn}")
-            # one hub a member, that with the most equal hashes; what this leaves out comes up again in the next round
-            best = found.groupBy(F.col("b").alias("b")).agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a"))
-            other = found.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-            pairs = best.select("a", "b").unionByName(other.select("a", "b")).distinct()
+            # one hub a member, that with which it shares most bands; what this leaves out comes up in the next round
+            shared_bands = rows.filter("member <> hub.member and comp <> hub.comp").groupBy("member", F.col("hub.member").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+            best = shared_bands.groupBy("member").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
+            pairs = best.select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct()
+            pairs = scratch.table(_pruned(pairs, sigs, least), f"pairs-{turn}")
         else:
             pairs = _blocks(rows.drop("hub"), sigs, least, block).distinct()
         fresh = _verified(pairs, texts, shingle, percent)
