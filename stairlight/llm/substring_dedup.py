@@ -208,10 +208,11 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = 20) -> tupl
     all their windows; and texts (doc_id, text) of the documents that may have ranges."""
     docs = docs.select("doc_id", "text")
     named = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # aggregates are written before they are joined back: over one exchange, a hot key of the join is not split
+    firsts = scratch.table(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "firsts")
     copies = scratch.table(named.join(firsts, "digest").filter("doc_id <> first").select("doc_id").distinct(), "copies")
     found = scratch.table(_anchors(docs, window), "anchors")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    often = scratch.table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "often")
     places = found.join(often, "anchor").join(copies, "doc_id", "left_anti")
     places = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "n", "many")).alias("places"))
     texts = scratch.table(docs.join(places, "doc_id"), "texts")
