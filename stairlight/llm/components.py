@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, in DataFrames.
 
 Every step is an aggregate and a join, so a vertex of many links is combined before the exchange and its join is
-split by adaptive execution; nothing is gathered per vertex. Steps are written tables."""
+split by adaptive execution (the aggregate is written first: over one exchange it would not be); nothing is
+gathered per vertex. Steps are written tables."""
 
 from __future__ import annotations
 
@@ -10,15 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
     """edges (u, v). Large: every larger neighbour of u is linked to u's smallest neighbour (u included). Small: u
     and its smaller neighbours are linked to the smallest of them."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large")
         return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
     return down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -32,5 +33,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if not now["n"] or now == state:
             return held.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
         state, step = now, step + 1
-        held = scratch.table(_stars(_stars(held, True).distinct(), False).distinct(), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        stars = scratch.table(_stars(held, True, scratch, f"{name}-{step}").distinct(), f"{name}-{step}-stars")
+        held = scratch.table(_stars(stars, False, scratch, f"{name}-{step}").distinct(), f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}", *(f"{name}-{step}-{x}" for x in ("large", "small", "stars")))

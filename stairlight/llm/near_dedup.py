@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     reps = sets.filter("n > 0").join(known, "doc_id", "left_semi").dropDuplicates(["doc_id", "hi", "lo"])
 
     bands = _bands(reps)
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # aggregates are written before they are joined back: over one exchange, a hot key of the join is not split
+    shared = scratch.table(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
     held = scratch.table(bands.join(shared, "key").distinct(), "buckets")
     busy = scratch.table(held.select(F.col("member").alias("doc_id")).distinct(), "busy")
     sigs = scratch.table(reps.join(busy, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         else:
             rows = rows.select("key", "band", "member", F.col("member").alias("comp"))
         open_keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("member", F.lit(turn)) if turn else F.lit(0), "member", "comp")).alias("hub")).filter("x <> y")
-        rows = scratch.table(rows.join(open_keys.select("key", "hub"), "key"), f"open-{turn}")
+        open_keys = scratch.table(open_keys.select("key", "hub"), f"keys-{turn}")
+        rows = scratch.table(rows.join(open_keys, "key"), f"open-{turn}")
         if rows.isEmpty():
             break
         held = rows.select("key", "band", "member")  # buckets of one component are done
