@@ -123,7 +123,7 @@ def grayscale(pixels: DataFrame) -> DataFrame:
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pixels whose colours differ, or that one side lacks."""
     both = left.alias("l").join(right.alias("r"), POINT, "full")
-    return both.filter(~F.col("l.color").eqNullSafe(F.col("r.color"))).select(*POINT, F.col("l.color").alias("before"), F.col("r.color").alias("after"))
+    return both.filter(~F.col("l.color").eqNullSafe(F.col("r.color"))).select(*POINT, F.col("l.color").alias("color_before"), F.col("r.color").alias("color_after"))
 
 
 def start_points(targets: DataFrame, foreground: DataFrame, start: DataFrame) -> DataFrame:

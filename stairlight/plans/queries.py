@@ -531,7 +531,7 @@ def dilate(spark, d):
     return pixels.dilate(pixels.foreground(pixel_table(spark, d)).filter("color = '#dc3030'"), 1)
 
 
-@query(f"WITH {PIX}, m AS (SELECT image_id, x, y, CASE WHEN x > 32 AND color = '#dc3030' THEN '#000000' ELSE color END AS color FROM pix WHERE y > 2) SELECT p.image_id, p.x, p.y, p.color AS before, m.color AS after FROM pix p LEFT JOIN m ON p.image_id = m.image_id AND p.x = m.x AND p.y = m.y WHERE p.color IS DISTINCT FROM m.color")
+@query(f"WITH {PIX} SELECT image_id, x, y, color AS color_before, CASE WHEN y > 2 THEN '#000000' END AS color_after FROM pix WHERE y <= 2 OR (x > 32 AND color = '#dc3030')")
 def pixel_difference(spark, d):
     p = pixel_table(spark, d)
     changed = p.filter("y > 2").withColumn("color", F.when((F.col("x") > 32) & (F.col("color") == "#dc3030"), "#000000").otherwise(F.col("color")))
@@ -567,9 +567,9 @@ def how_of(spark: SparkSession, d: str) -> DataFrame:
 
 SHOWN = lambda s: f"CASE WHEN image_id = 'fig1' THEN 100 - 100 * ({s}) ELSE 100 * ({s}) END"
 STEPS = KM + f""", j AS (SELECT *, lag(surv, 1, 1.0::DOUBLE) OVER (PARTITION BY image_id, series ORDER BY time) AS before FROM km),
-v AS (SELECT image_id, series, time AS at, 0 AS part, time AS x, before AS s FROM j WHERE n_event > 0 UNION ALL SELECT image_id, series, time, 1, time, surv FROM j WHERE n_event > 0
+v AS (SELECT image_id, series, time AS pos, 0 AS part, time AS x, before AS s FROM j WHERE n_event > 0 UNION ALL SELECT image_id, series, time, 1, time, surv FROM j WHERE n_event > 0
   UNION ALL SELECT DISTINCT image_id, series, -1e308::DOUBLE, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM km UNION ALL SELECT image_id, series, 1e308::DOUBLE, 0, greatest(max(time), 0), min(surv) FROM km GROUP BY image_id, series),
-steps AS (SELECT image_id, series, row_number() OVER (PARTITION BY image_id, series ORDER BY at, part) AS ord, x, {SHOWN("s")} AS y FROM v)"""
+steps AS (SELECT image_id, series, row_number() OVER (PARTITION BY image_id, series ORDER BY pos, part) AS ord, x, {SHOWN("s")} AS y FROM v)"""
 
 
 @query(f"WITH {STEPS} SELECT image_id, series, ord::INT AS ord, round(x, 6) AS x, round(y, 6) AS y FROM steps")
