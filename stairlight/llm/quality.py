@@ -62,6 +62,22 @@ class Model:
         return total / np.maximum(n, 1) + self.bias
 
 
+def _weighted(texts: pa.Array, block: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each document's buckets and their shares, as views of a few large arrays (small ones would fragment memory)."""
+    data, offsets = text_buffers(texts)
+    rows = []
+    for at in range(0, len(offsets) - 1, block):
+        part = []
+        for a, b in zip(offsets[at : at + block], offsets[at + 1 : at + block + 1], strict=False):
+            own = np.concatenate([x for x, _ in features(data[a:b], np.array([0, b - a]))])
+            buckets, counts = np.unique(own, return_counts=True)
+            part.append((buckets.astype(np.int32), (counts / max(len(own), 1)).astype(np.float32)))
+        edges = np.cumsum([0, *(len(b) for b, _ in part)])
+        buckets, weights = (np.concatenate([p[k] for p in part]) for k in (0, 1))
+        rows += [(buckets[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return rows
+
+
 def fit(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
     """Gradient descent one document a step; each bucket's rate falls with the gradients it has had."""
     labels, share = np.asarray(labels), float(np.mean(labels)) if len(labels) else 0.5
@@ -72,12 +88,7 @@ def fit(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 6, rate
     vectors = rng.uniform(-1, 1, (1 << BITS, dim)) / dim
     layer, bias = rng.uniform(-1, 1, (dim, 2)) / dim, np.zeros(2)
     seen, seen_layer = np.full(1 << BITS, 1e-8), 1e-4
-    data, offsets = text_buffers(texts)
-    rows = []
-    for i in range(len(labels)):
-        own = np.concatenate([b for b, _ in features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))])
-        buckets, counts = np.unique(own, return_counts=True)
-        rows.append((buckets, counts / max(len(own), 1)))
+    rows = _weighted(texts)
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -130,7 +141,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         own = Model(*held.value)
         for batch in batches:
             data, offsets = text_buffers(batch.column(batch.schema.get_field_index("_scored")))
-            z = [own.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in pieces_of(offsets)]
+            z = [own.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in pieces_of(offsets, 1 << 20)]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate([*z, []]), -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(p)], [*names, out])
 

@@ -94,6 +94,7 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def anchors(words: Words, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, hash, first window and number of windows of each anchor; windows count from their document's first."""
+    gram = min(gram, window)
     grams, reach = shingles(words.hashes, gram), window - gram + 1
     n = len(words.hashes) - window + 1
     none = np.zeros(0, np.int64)
@@ -143,9 +144,11 @@ def _stretches(texts: DataFrame, window: int) -> DataFrame:
                 named = shingles(words.hashes, window)
                 starts, ends, rows = words.starts.tolist(), words.ends.tolist(), []
                 for d in range(lo, hi):
-                    first = int(words.first[d - lo])
+                    first, last = int(words.first[d - lo]), int(words.first[d - lo + 1])
                     for k in range(bounds[d], bounds[d + 1]):
                         a, m = int(at[k]), int(n[k])
+                        if first + a + m + window - 1 > last:  # another text of the same id
+                            continue
                         if many[k] <= MANY:
                             rows.append((anchor[k], 0, ids[d], a, m, whole[starts[first + a] : ends[first + a + m + window - 2]]))
                         else:
@@ -225,8 +228,8 @@ def _cut(text: bytes, begins: list[int], ends: list[int]) -> tuple[int, bytes]:
     """Number of words removed and the kept words, joined by one space."""
     words = text.split()
     gone = np.zeros(len(words) + 1, np.int32)
-    np.add.at(gone, begins, 1)
-    np.add.at(gone, ends, -1)
+    np.add.at(gone, np.minimum(begins, len(words)), 1)
+    np.add.at(gone, np.minimum(ends, len(words)), -1)
     kept = [w for w, g in zip(words, np.cumsum(gone), strict=False) if not g]
     return len(words) - len(kept), b" ".join(kept)
 

@@ -64,10 +64,12 @@ def make_record(page: int, url: str | None, payload: bytes, keeper: int | None,
     block, named = http + payload if keeper is None else http, digest(payload)
     uri = lambda u: quote(u, safe="!#$%&'()*+,/:;=?@[]~-._")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if keeper is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}"]
-    lines += [f"WARC-Target-URI: {uri(url)}"] * (url is not None)
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {uri(url)}")
     if keeper is not None:
         lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(keeper)}"]
-        lines += [f"WARC-Refers-To-Target-URI: {uri(keeper_url)}"] * (keeper_url is not None)
+        if keeper_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {uri(keeper_url)}")
     lines += [f"WARC-Payload-Digest: sha1:{named}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", named
 
