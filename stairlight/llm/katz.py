@@ -81,11 +81,15 @@ class Piece:
     """Tokens of some documents: index into the distinct words, and where each document begins."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, parts: int):
-        words = Words(data, offsets, SPACE_WORDS, LOWER)
-        counts = words.counts + 1
+        hashes, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for lo, hi in pieces_of(offsets):  # the hash's tables grow with what is hashed at once
+            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS, LOWER)
+            hashes.append(words.hashes)
+            counts.append(words.counts)
+        hashes, counts = np.concatenate(hashes), np.concatenate(counts) + 1
         self.first = np.concatenate([[0], np.cumsum(counts)])
         tokens = np.full(self.first[-1], END)
-        tokens[ranges(self.first[:-1], counts - 1)] = words.hashes
+        tokens[ranges(self.first[:-1], counts - 1)] = hashes
         self.kinds, self.index = np.unique(tokens, return_inverse=True)
         self.doc = np.repeat(np.arange(len(counts)), counts)
         self.train = train[self.doc]
@@ -254,7 +258,7 @@ def _read_answer(folder: str, number: int, piece: Piece) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 16 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 8 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a SQL condition
     that marks the rows to learn from. docs must be read from files, so that a second reading has the same splits."""
     spark = docs.sparkSession
