@@ -233,7 +233,7 @@ def test_colours(spark):
     assert [tuple(r) for r in rows] == [("#dc3030", "#dc3030ff", True), ("#ff0000", "#ff0000ff", False), ("#dc3030", "#dc303080", True)]
     near = colors.nearest(spark.createDataFrame([("#fe0101",)], "c string"), "c", [(n, colors.hex_of(v)) for n, v in colors.NAMED.items()], "n")
     assert near.first()["n"] == "red"
-    assert spark.range(1).select(colors.ruler(F.lit("#7f8080")).alias("r"), colors.flatten(F.lit(0), F.lit(0.5)).alias("f")).first() == ("#ffffff", 128)
+    assert spark.range(1).select(colors.ruler(F.lit("#7f7f80")).alias("r"), colors.flatten(F.lit(0), F.lit(0.5)).alias("f")).first() == ("#ffffff", 128)
 
 
 def test_text(spark):
