@@ -258,7 +258,7 @@ def _read_answer(folder: str, number: int, piece: Piece) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 8 << 20, part_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 6 << 20, part_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a SQL condition
     that marks the rows to learn from. docs must be read from files, so that a second reading has the same splits."""
     spark = docs.sparkSession
