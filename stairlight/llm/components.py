@@ -19,7 +19,7 @@ def _stars(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFr
         least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-large")
         return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))  # here a hub is the smaller end, so no u is hot
     return down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -33,6 +33,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if not now["n"] or now == state:
             return held.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
         state, step = now, step + 1
-        stars = scratch.table(_stars(held, True, scratch, f"{name}-{step}").distinct(), f"{name}-{step}-stars")
+        stars = _stars(held, True, scratch, f"{name}-{step}").distinct()
         held = scratch.table(_stars(stars, False, scratch, f"{name}-{step}").distinct(), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}", *(f"{name}-{step}-{x}" for x in ("large", "small", "stars")))
+        scratch.drop(f"{name}-{step - 1}", f"{name}-{step}-large")
