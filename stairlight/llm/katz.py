@@ -22,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -310,25 +311,27 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         pairs = Pairs([(piece, body) for piece, kind, body in rows if not kind])
         logs = pairs.log_probabilities(unigrams, discounts, shared)
         owners, index = np.unique(pairs.owner, return_inverse=True)
-        yield 0, 0, _squeeze(owners, np.bincount(index, logs[pairs.occurrence], len(owners)))
+        sums = np.bincount(index, logs[pairs.occurrence], len(owners))
+        number = owners >> 20 << 20
+        for piece, at, n in zip(*np.unique(number, return_index=True, return_counts=True), strict=True):
+            yield 0, int(piece), _squeeze(owners[at : at + n] - piece, sums[at : at + n])
         for piece, kind, body in rows:
             if kind:
                 yield 1, piece, body
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part"]
-        for batch in batches:
-            for kind, piece, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if kind:
-                    ids, null, held, tokens, known, base = _stretch(body, [np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64])
-                    columns = [pa.array(piece + np.arange(len(ids))), pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(tokens), pa.array(known), pa.array(base), pa.nulls(len(ids), pa.float64())]
-                else:
-                    keys, sums = _stretch(body, [np.int64, np.float64])
-                    none = lambda t, n=len(keys): pa.nulls(n, t)
-                    columns = [pa.array(keys), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), pa.array(sums)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    sums = spark.createDataFrame(asked.mapPartitions(answer), "kind int, piece long, body binary").mapInArrow(spread, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part double")
-    first = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
-    found = scratch.table(sums.groupBy("key").agg(*first, F.sum("part").alias("score")), "scores")
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A piece's documents with the sums of all partitions."""
+        bodies = list(zip(pdf["kind"], pdf["body"], strict=True))
+        own = next(b for k, b in bodies if k)
+        ids, null, held, tokens, known, base = _stretch(own, [np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64])
+        score = np.zeros(len(ids))
+        for kind, body in bodies:
+            if not kind:
+                docs, sums = _stretch(body, [np.int64, np.float64])
+                score[docs] += sums
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held.astype(bool), "n_tokens": tokens, "n_known": known, "base_score": base, "score": score}).assign(doc_id=lambda x: x["doc_id"].mask(null.astype(bool)))
+
+    # a row a piece and partition; documents become rows only when their sums are whole
+    sums = spark.createDataFrame(asked.mapPartitions(answer), "kind int, piece long, body binary")
+    found = scratch.table(sums.groupBy("piece").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score")
