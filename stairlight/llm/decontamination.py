@@ -1,12 +1,10 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination: exact seeds and exact edit verification.
 
-Words of letters and digits, A-Z in lower case, are the symbols. A CGK walk reads a symbol a step and moves on or stays
-by a random bit of step and symbol, which maps edit distance to Hamming distance between the symbols read. A key is a
-sample of the steps of one walk; a document window and an item's window with equal keys are candidates. Every word
-position of every document begins a window; items give windows from every `stride` words on, so that an edit spoils
-few of them. `repeats` walks with samples of their own reach the target recall. Candidates are verified exactly:
-the smallest word edit distance of the item to a stretch of the document there is at most (1 - similarity) of
-the item's words.
+Words of letters and digits, A-Z in lower case, are the symbols. An item is in a document where a stretch of it has a word
+edit distance of at most `slack`, (1 - similarity) of the item's words. An item is cut into slack + 1 pieces of about
+equal length; that many edits leave one piece whole, so a stretch within the distance holds a piece word by word, and
+looking up the pieces at every word position of every document misses none. Long pieces are looked up by their first
+MOST words. What a piece meets is verified exactly, by the smallest edit distance of the item to a stretch there.
 
 Items are held in blocks of `block_items`, so memory is bounded whatever the benchmark's size. Items of fewer than
 `least_words` words are left out: they occur by chance. Defined cases: null and empty texts hold no words and
@@ -23,36 +21,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM_WORDS, LOWER, U64, batches_of_words, mix, seeds, text_buffers, Words
+from .common import ALNUM_WORDS, LOWER, U64, batches_of_words, mix, ranges, text_buffers, Words
 
 HITS = "doc_id long, item_id long, start_word long, n_words long, distance long"
-#: An item's window is kept where its sampled steps read DISTINCT places: fewer tell nothing (a walk may stay on one word).
-STEPS, SAMPLED, DISTINCT = 12, 5, 4
+#: Words of a piece that are looked up, at most.
+MOST = 6
+#: Items of up to so many words are compared with what their pieces meet in one matrix; and its cells.
+MATRIX, CELLS = 64, 1 << 21
 _PAD = U64(0x5851F42D4C957F2D)
 
 
-def repeats_for(recall: float, similarity: float, windows: int = 3) -> int:
-    """Walks needed so that an item of `windows` independent windows, each word kept with probability
-    `similarity`, is met with probability `recall`; a walk reads about half as many words as it has steps."""
-    met = similarity ** (STEPS / 2)
-    return max(1, math.ceil(math.log(1 - recall) / (windows * math.log(1 - met))))
+def slack_of(words: int, similarity: float) -> int:
+    """Edits that an item of so many words allows; one word at least is left."""
+    return max(0, min(int((1 - similarity) * words + 1e-9), words - 1))
 
 
-def _plan(repeats: int, seed: int) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(STEPS, SAMPLED, replace=False).tolist()) for _ in range(repeats)]
+def pieces_of_item(words: int, slack: int) -> list[tuple[int, int]]:
+    """(first word, words looked up) of the slack + 1 pieces."""
+    cut = [words * j // (slack + 1) for j in range(slack + 2)]
+    return [(a, min(b - a, MOST)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def keys(symbols: np.ndarray, starts: np.ndarray, repeat: int, sample: list[int], size: int | None = None) -> np.ndarray:
-    """The key of the window from each start on: what the sampled steps of the walk read. Past `size` words (or the
-    end, where `symbols` must be padded by STEPS) a walk reads a filler."""
-    at, key = starts.copy(), np.full(len(starts), U64(repeat + 1))
-    for step in range(sample[-1] + 1):
-        read = symbols[at] if size is None else np.where(at < starts + size, symbols[np.minimum(at, len(symbols) - 1)], _PAD)
-        if step in sample:
-            key = key * U64(0x9E3779B97F4A7C15) + read
-        at += ((read >> U64((repeat * STEPS + step) % 64)) & U64(1)).astype(np.int64)
-    return mix(key)
+def keys(symbols: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size, ascending, a key of the `size` words from each position on; what would run over the end is left out."""
+    key = np.zeros(len(symbols), U64)
+    for n in range(1, max(sizes, default=0) + 1):
+        if len(symbols) < n:
+            return
+        key = key[: len(symbols) - n + 1] * U64(0x9E3779B97F4A7C15) + symbols[n - 1 :]
+        if n in sizes:
+            yield n, mix(key + U64(n))
 
 
 def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -72,76 +70,97 @@ def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Keys of one block of benchmark items, sorted, with a bit table in front of them."""
+    """Keys of the pieces of one block of benchmark items, sorted, with a bit table in front of them."""
 
-    def __init__(self, ids: list, texts: pa.Array, repeats: int, stride: int, least_words: int, seed: int):
-        self.samples = _plan(repeats, seed)
+    def __init__(self, ids: list, texts: pa.Array, similarity: float, least_words: int):
         data, offsets = text_buffers(texts)
         words = Words(data, offsets, ALNUM_WORDS, LOWER)
         self.ids, self.symbols = ids, [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        long, self.short = [], {}
+        self.lengths = words.counts.astype(np.int64)
+        self.slack = np.array([slack_of(n, similarity) for n in self.lengths.tolist()], np.int64)
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for i, s in enumerate(self.symbols):
-            if len(s) >= max(STEPS, least_words):
-                long += [(i, o) for o in sorted({*range(0, len(s) - STEPS + 1, stride), len(s) - STEPS})]
-            elif len(s) >= least_words:
-                self.short.setdefault(len(s), []).append((i, 0))
-        self.classes = {None: self._keys(long, None)} | {n: self._keys(v, n) for n, v in self.short.items()}
-
-    def _places(self, item: int, begin: int, repeat: int, sample: list[int]) -> set[int]:
-        """Places that the sampled steps of the walk read."""
-        at, out, symbols = begin, set(), self.symbols[item]
-        for step in range(sample[-1] + 1):
-            if step in sample:
-                out.add(at)
-            read = int(symbols[at]) if at < len(symbols) else int(_PAD)
-            at += read >> (repeat * STEPS + step) % 64 & 1
-        return out
-
-    def _keys(self, windows: list[tuple[int, int]], size: int | None) -> list[tuple]:
-        out = []
-        for repeat, sample in enumerate(self.samples):
-            windows_here = [(i, o) for i, o in windows if len(self._places(i, o, repeat, sample)) >= min(DISTINCT, size or DISTINCT)]
-            k = np.array([keys(np.concatenate([self.symbols[i], np.full(STEPS, _PAD)]), np.array([o]), repeat, sample, size)[0] for i, o in windows_here], U64)
-            order = np.argsort(k, kind="stable")
-            bits = max(16, int(64 * max(len(k), 1)).bit_length())
-            table = np.zeros(1 << bits, bool)
-            table[(k & U64((1 << bits) - 1)).astype(np.int64)] = True
-            out.append((k[order], [windows_here[j] for j in order], table))
-        return out
-
-    def hits(self, words: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int, int, int]]:
+            if len(s) >= max(1, least_words):
+                for o, n in pieces_of_item(len(s), int(self.slack[i])):
+                    pieces.setdefault(n, []).append((i, o, int(next(keys(s[o : o + n], [n]))[1][0])))
+        self.pieces = {n: self._sorted(rows) for n, rows in sorted(pieces.items())}
+        #: items of one length as a matrix, and the row of each
+        self.row, self.matrix = np.zeros(len(ids), np.int64), {}
+        for n in np.unique(self.lengths[(self.lengths > 0) & (self.lengths <= MATRIX)]).tolist():
+            own = np.flatnonzero(self.lengths == n)
+            self.row[own], self.matrix[n] = np.arange(len(own)), np.stack([self.symbols[i] for i in own])
+
+    @staticmethod
+    def _sorted(rows: list[tuple[int, int, int]]) -> tuple:
+        k = np.array([r[2] for r in rows], U64)
+        order = np.argsort(k, kind="stable")
+        table = np.zeros(1 << max(16, int(64 * len(k)).bit_length()), bool)
+        table[(k & U64(len(table) - 1)).astype(np.int64)] = True
+        return k[order], np.array([r[0] for r in rows])[order], np.array([r[1] for r in rows])[order], table
+
+    def _met(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, item, where the item would begin) of every place where a piece occurs inside a document."""
+        for n, k in keys(words, list(self.pieces)):
+            known, item, offset, table = self.pieces[n]
+            maybe = np.flatnonzero(table[(k & U64(len(table) - 1)).astype(np.int64)])
+            lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
+            doc = np.searchsorted(first, maybe, "right") - 1
+            good = (lo < hi) & (maybe + n <= first[doc + 1])
+            at, doc, lo, many = maybe[good], doc[good], lo[good], (hi - lo)[good]
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // CELLS)) + 1):
+                j = ranges(lo[part], many[part])
+                yield np.repeat(doc[part], many[part]), item[j], np.repeat(at[part], many[part]) - offset[j]
+
+    def _near(self, words: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Places that hold all but `slack` of the item's words, in any order: each missing word is an edit."""
+        keep = np.ones(len(doc), bool)
+        for n in np.unique(self.lengths[item]).tolist():
+            own = np.flatnonzero(self.lengths[item] == n)
+            if n > MATRIX:  # hits() looks at these one by one
+                continue
+            slack = int(self.slack[item[own[0]]])
+            wide = np.arange(-slack, n + slack)
+            for lo in range(0, len(own), max(1, CELLS // len(wide))):
+                part = own[lo : lo + max(1, CELLS // len(wide))]
+                at = begin[part, None] + wide
+                inside = (at >= first[doc[part], None]) & (at < first[doc[part] + 1, None])
+                window = np.where(inside, words[np.clip(at, 0, len(words) - 1)], _PAD)
+                symbols, there = self.matrix[n][self.row[item[part]]], np.zeros(len(part), np.int64)
+                for j in range(n):
+                    there += (window == symbols[:, j, None]).any(1)
+                keep[part] = there >= n - slack
+        return keep
+
+    def hits(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, distance) of the best stretch for each item in each document."""
-        padded, starts, asked = np.concatenate([words, np.full(STEPS, _PAD)]), np.arange(len(words)), set()
-        for size, tables in self.classes.items():
-            for repeat, (sample, (known, windows, table)) in enumerate(zip(self.samples, tables, strict=True)):
-                if not len(known):
-                    continue
-                k = keys(padded, starts, repeat, sample, size)
-                maybe = np.flatnonzero(table[(k & U64(len(table) - 1)).astype(np.int64)])
-                lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
-                for p, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                    asked |= {(windows[j][0], int(p) - windows[j][1]) for j in range(a, b)}
+        asked: set = set()
+        for doc, item, begin in self._met(words, first):
+            keep = self._near(words, first, doc, item, begin)
+            asked |= set(zip(doc[keep].tolist(), item[keep].tolist(), begin[keep].tolist(), strict=True))
         found: dict = {}
-        for item, begin in sorted(asked):
-            symbols = self.symbols[item]
-            slack = int((1 - similarity) * len(symbols) + 1e-9)
-            doc = int(np.searchsorted(first, max(begin, 0), "right")) - 1
-            if begin < 0 or begin + len(symbols) > first[doc + 1]:  # the anchor's document, when the item sticks out of it
-                doc = int(np.searchsorted(first, min(max(begin, 0) + len(symbols) - 1, len(words) - 1), "right")) - 1 if begin < 0 else doc
-            for d in {doc, min(doc + 1, len(first) - 2)}:
-                lo, hi = max(int(first[d]), begin - slack), min(int(first[d + 1]), begin + len(symbols) + slack)
-                if hi - lo < len(symbols) - slack or found.get((d, item), (slack + 1,))[0] == 0:
-                    continue
-                if np.isin(symbols, words[lo:hi]).sum() < len(symbols) - slack:  # each missing word is an edit
-                    continue
-                if lo <= begin and begin + len(symbols) <= hi and np.array_equal(words[begin : begin + len(symbols)], symbols):
-                    distance, a, b = 0, begin - lo, begin - lo + len(symbols)
-                else:
-                    distance, a, b = edit_distance(symbols, words[lo:hi])
-                if distance <= slack:
-                    found[d, item] = min(found.get((d, item), (slack + 1,)), (distance, lo + a - int(first[d]), b - a))
-        for (d, item), (distance, at, n) in sorted(found.items()):
-            yield d, item, at, n, distance
+        group: list[tuple[int, int, int]] = []
+        for place in [*sorted(asked), (-1, -1, 0)]:
+            # places of an item that lie within its slack are verified as one
+            if group and (place[:2] != group[0][:2] or place[2] - group[0][2] > self.slack[place[1]]):
+                d, i, _ = group[0]
+                best = self._best(words, int(first[d]), int(first[d + 1]), i, [p[2] for p in group])
+                if best and best < found.get((d, i), (len(words) + 1,)):
+                    found[d, i] = best
+                group = []
+            group.append(place)
+        for (d, i), (distance, at, n) in sorted(found.items()):
+            yield d, i, at - int(first[d]), n, distance
+
+    def _best(self, words: np.ndarray, start: int, end: int, item: int, begins: list[int]) -> tuple[int, int, int] | None:
+        symbols, slack, n = self.symbols[item], int(self.slack[item]), int(self.lengths[item])
+        for b in begins:
+            if b >= start and b + n <= end and np.array_equal(words[b : b + n], symbols):
+                return 0, b, n
+        lo, hi = max(start, begins[0] - slack), min(end, begins[-1] + n + slack)
+        if hi - lo < n - slack or np.isin(symbols, words[lo:hi]).sum() < n - slack:
+            return None
+        distance, a, b = edit_distance(symbols, words[lo:hi])
+        return (distance, lo + a, b - a) if distance <= slack else None
 
 
 def _blocks(benchmark: DataFrame, block_items: int, id_col: str, text_col: str) -> Iterator[tuple[list, pa.Array]]:
@@ -152,7 +171,7 @@ def _blocks(benchmark: DataFrame, block_items: int, id_col: str, text_col: str)
         yield [r["item_id"] for r in part], pa.array([r["text"] for r in part], pa.string())
 
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, stride: int = 2, least_words: int = 5, block_items: int = 20_000, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least_words: int = 5, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item it holds: the best stretch of words and its edit distance. No exchange."""
     kinds = pa.schema([(c.split()[0], pa.int64()) for c in HITS.split(", ")])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -161,10 +180,10 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall:
         held = docs.sparkSession.sparkContext.broadcast((ids, texts.to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items = Items(held.value[0], pa.array(held.value[1], pa.string()), repeats_for(recall, similarity), stride, least_words, seed)
+            items = Items(held.value[0], pa.array(held.value[1], pa.string()), similarity, least_words)
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                rows = [(own[lo + d], items.ids[i], at, n, e) for lo, _, w in batches_of_words(batch.column(1), ALNUM_WORDS, LOWER) for d, i, at, n, e in items.hits(w.hashes, w.first, similarity)]
+                rows = [(own[lo + d], items.ids[i], at, n, e) for lo, _, w in batches_of_words(batch.column(1), ALNUM_WORDS, LOWER) for d, i, at, n, e in items.hits(w.hashes, w.first)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=kinds)
 
@@ -172,17 +191,17 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall:
     return out
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, stride: int = 2, least_words: int = 5, block_items: int = 20_000, seed: int = 29, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least_words: int = 5, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that hold an item, all columns kept. No exchange."""
     for ids, texts in _blocks(benchmark, block_items, item_col, item_text):
         held, schema = docs.sparkSession.sparkContext.broadcast((ids, texts.to_pylist())), docs.schema
 
         def run(batches: Iterator[pa.RecordBatch], held=held, at: int = schema.names.index(text_col)) -> Iterator[pa.RecordBatch]:
-            items = Items(held.value[0], pa.array(held.value[1], pa.string()), repeats_for(recall, similarity), stride, least_words, seed)
+            items = Items(held.value[0], pa.array(held.value[1], pa.string()), similarity, least_words)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for lo, _, w in batches_of_words(batch.column(at), ALNUM_WORDS, LOWER):
-                    clean[[lo + hit[0] for hit in items.hits(w.hashes, w.first, similarity)]] = False
+                    clean[[lo + hit[0] for hit in items.hits(w.hashes, w.first)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)

@@ -202,6 +202,35 @@ def test_decontamination_recall_against_edit_distance(spark, rate, recall):
     assert kept == {r[0] for r in rows} - {d for d, _ in found}
 
 
+def edited(item, edits, rng):
+    """The item after so many edits of words: put in, left out, changed."""
+    out = list(item)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice([[], ["new" + rng.choice(WORDS)], [out[at], "new" + rng.choice(WORDS)]])
+    return out
+
+
+@pytest.mark.parametrize("edits", ["none", "all"])
+@pytest.mark.parametrize("length", [5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 20, 35, 70])
+def test_decontamination_finds_every_edited_copy(length, edits):
+    rng = random.Random(length)
+    for _ in range(4):
+        items = [[rng.choice(WORDS) for _ in range(length)] for _ in range(15)]
+        slack = int(0.2 * length + 1e-9)
+        texts = [" ".join(rng.choices(WORDS, k=20) + edited(i, slack if edits == "all" else 0, rng) + rng.choices(WORDS, k=20)) for i in items]
+        held = decontamination.Items(list(range(15)), pa.array([" ".join(i) for i in items]), 0.8, 5)
+        found = {}
+        for _, _, w in common.batches_of_words(pa.array(texts), common.ALNUM_WORDS, common.LOWER):
+            for d, i, at, n, distance in held.hits(w.hashes, w.first):
+                own = w.hashes[w.first[d] : w.first[d + 1]]
+                found[d, i] = distance
+                assert distance == decontamination.edit_distance(held.symbols[i], own)[0] <= slack
+                assert distance == decontamination.edit_distance(held.symbols[i], own[at : at + n])[0] and 0 <= at <= at + n <= len(own)
+        every = {(d, i) for d, t in enumerate(texts) for i, s in enumerate(items) if decontamination.edit_distance(np.array([hash(w) for w in s]), np.array([hash(w) for w in t.split()]))[0] <= slack}
+        assert set(found) == every and {(k, k) for k in range(15)} <= every
+
+
 def test_edit_distance_against_brute_force():
     def brute(a, b):
         row = list(range(len(b) + 1))
