@@ -126,17 +126,37 @@ def pieces_of(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, i
         at = to
 
 
+#: First and last code points of scripts written without spaces between words: Thai, Lao, Tibetan, Myanmar; Khmer; Tai
+#: Le to Tai Lue; Tai Tham; Balinese; CJK with kana and its punctuation; Javanese and Myanmar extended; more ideographs; full and half width.
+UNSPACED = np.array([(0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF)])
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the characters of UNSPACED scripts in UTF-8 text, and the bytes after them."""
+    lead = np.flatnonzero(data >= 0xE0)
+    tail = [(data[np.minimum(lead + i, len(data) - 1)] & 63).astype(np.int64) for i in (1, 2, 3)] if len(lead) else [lead] * 3
+    four = data[lead] >= 0xF0
+    top = data[lead].astype(np.int64)
+    point = np.where(four, (top & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], (top & 15) << 12 | tail[0] << 6 | tail[1])
+    row = np.maximum(np.searchsorted(UNSPACED[:, 0], point, "right") - 1, 0)
+    found = (UNSPACED[row, 0] <= point) & (point <= UNSPACED[row, 1])
+    return lead[found], np.minimum(lead + 3 + four, len(data))[found]
+
+
 class Words:
     """The words of some documents: byte ranges in `data`, a hash each, and where each document's words begin.
 
-    first[i]:first[i + 1] are the words of document i."""
+    first[i]:first[i + 1] are the words of document i. With `apart`, each character of an UNSPACED script is a word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray = SPACE_WORDS, fold: np.ndarray = SAME):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray = SPACE_WORDS, fold: np.ndarray = SAME, apart: bool = False):
         n = len(data)
         inside = np.zeros(n + 1, bool)
         inside[:n] = member[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
+        if apart:
+            for at in unspaced(data):
+                cut[at] = True
         before = np.zeros(n + 1, bool)
         before[1:] = inside[:-1]
         self.starts = np.flatnonzero(inside & (~before | cut))
@@ -157,10 +177,10 @@ class Words:
         return np.diff(self.first)
 
 
-def batches_of_words(column: pa.Array, member=SPACE_WORDS, fold=SAME, size: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
+def batches_of_words(column: pa.Array, member=SPACE_WORDS, fold=SAME, size: int = 2 << 20, apart: bool = False) -> Iterator[tuple[int, int, Words]]:
     data, offsets = text_buffers(column)
     for lo, hi in pieces_of(offsets, size):
-        yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], member, fold)
+        yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], member, fold, apart)
 
 
 def shingles(hashes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:

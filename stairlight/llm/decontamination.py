@@ -1,13 +1,13 @@
 """Benchmark decontamination: exact seeds and exact edit verification.
 
-Words of letters and digits, A-Z in lower case, are the symbols. An item is in a document where a stretch of it has a word
+Words of letters and digits, A-Z in lower case, are the symbols; in scripts written without spaces, characters. An item is in a document where a stretch of it has a word
 edit distance of at most `slack`, (1 - similarity) of the item's words. An item is cut into slack + 1 pieces of about
 equal length; that many edits leave one piece whole, so a stretch within the distance holds a piece word by word, and
 looking up the pieces at every word position of every document misses none. Long pieces are looked up by their first
 MOST words. What a piece meets is verified exactly, by the smallest edit distance of the item to a stretch there.
 
 Items are held in blocks of `block_items`, so memory is bounded whatever the benchmark's size. Items of fewer than
-`least_words` words are left out: they occur by chance. Defined cases: null and empty texts hold no words and
+`least_words` words are looked for as exact copies only, also where these occur by chance. Defined cases: null and empty texts hold no words and
 match nothing; repeated documents or items are judged one by one; an empty table on either side gives no hits; other
 columns are ignored by find() and kept by remove(), whatever their names.
 """
@@ -74,13 +74,13 @@ class Items:
 
     def __init__(self, ids: list, texts: pa.Array, similarity: float, least_words: int):
         data, offsets = text_buffers(texts)
-        words = Words(data, offsets, ALNUM_WORDS, LOWER)
+        words = Words(data, offsets, ALNUM_WORDS, LOWER, apart=True)
         self.ids, self.symbols = ids, [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         self.lengths = words.counts.astype(np.int64)
-        self.slack = np.array([slack_of(n, similarity) for n in self.lengths.tolist()], np.int64)
+        self.slack = np.array([slack_of(n, similarity) if n >= least_words else 0 for n in self.lengths.tolist()], np.int64)
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for i, s in enumerate(self.symbols):
-            if len(s) >= max(1, least_words):
+            if len(s):
                 for o, n in pieces_of_item(len(s), int(self.slack[i])):
                     pieces.setdefault(n, []).append((i, o, int(next(keys(s[o : o + n], [n]))[1][0])))
         self.pieces = {n: self._sorted(rows) for n, rows in sorted(pieces.items())}
@@ -136,6 +136,10 @@ class Items:
         asked: set = set()
         for doc, item, begin in self._met(words, first):
             keep = self._near(words, first, doc, item, begin)
+            # a piece that is its whole item is a copy; the first in a document is enough
+            copy = np.flatnonzero(keep & (self.slack[item] == 0) & (self.lengths[item] <= MOST))
+            keep[copy] = False
+            keep[copy[np.unique(np.stack([doc[copy], item[copy]], 1), axis=0, return_index=True)[1]]] = True
             asked |= set(zip(doc[keep].tolist(), item[keep].tolist(), begin[keep].tolist(), strict=True))
         found: dict = {}
         group: list[tuple[int, int, int]] = []
@@ -183,7 +187,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least_w
             items = Items(held.value[0], pa.array(held.value[1], pa.string()), similarity, least_words)
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                rows = [(own[lo + d], items.ids[i], at, n, e) for lo, _, w in batches_of_words(batch.column(1), ALNUM_WORDS, LOWER) for d, i, at, n, e in items.hits(w.hashes, w.first)]
+                rows = [(own[lo + d], items.ids[i], at, n, e) for lo, _, w in batches_of_words(batch.column(1), ALNUM_WORDS, LOWER, apart=True) for d, i, at, n, e in items.hits(w.hashes, w.first)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=kinds)
 
@@ -200,7 +204,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least
             items = Items(held.value[0], pa.array(held.value[1], pa.string()), similarity, least_words)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for lo, _, w in batches_of_words(batch.column(at), ALNUM_WORDS, LOWER):
+                for lo, _, w in batches_of_words(batch.column(at), ALNUM_WORDS, LOWER, apart=True):
                     clean[[lo + hit[0] for hit in items.hits(w.hashes, w.first)]] = False
                 yield batch.filter(pa.array(clean))
 

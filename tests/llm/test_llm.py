@@ -231,6 +231,17 @@ def test_decontamination_finds_every_edited_copy(length, edits):
         assert set(found) == every and {(k, k) for k in range(15)} <= every
 
 
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    zh, ja, th = "机器学习是人工智能的一个重要分支", "東京は日本の首都であり世界最大の都市の一つです", "กรุงเทพเป็นเมืองหลวงของประเทศไทย"
+    items = [(1, "forty two"), (2, "Ja"), (3, zh), (4, ja), (5, th), (6, "\U00020000\U00020001"), (7, ""), (8, "한국어 문장")]
+    texts = ["it is Forty-two, ja!", "forty and two jar", f"前言{zh}。后记ABC", "首先" + zh.replace("人工", "人造") + "完", f"x{ja}y", ja[:9], "ก" + th + "ข", "\U00020000\U00020001\U00020002", "\U00020001\U00020000", "한국어 문장 둘", "한국어 문장들"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["n_words"]) for r in decontamination.find(docs, benchmark).collect()}
+    assert found == {(0, 1): (0, 2, 2), (0, 2): (0, 4, 1), (2, 3): (0, 2, len(zh)), (3, 3): (1, 2, len(zh)), (4, 4): (0, 1, len(ja)), (6, 5): (0, 1, len(th)), (7, 6): (0, 0, 2), (9, 8): (0, 0, 2)}
+    assert {r["doc_id"] for r in decontamination.remove(docs, benchmark).collect()} == {1, 5, 8, 10}
+
+
 def test_edit_distance_against_brute_force():
     def brute(a, b):
         row = list(range(len(b) + 1))
