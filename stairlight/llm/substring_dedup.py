@@ -10,7 +10,9 @@ out further by window hash, so no task holds an unbounded group.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Defined cases: null and empty texts have no words; texts of fewer words
 than the window lose nothing; rows of equal text lose all windows but in the row of the smallest id; rows of one id
-are the same document and none of them is the earlier; a null id counts as smaller than all others; an empty table gives no rows; other columns are ignored or,
+and text are one document, repeated, and none of them is the earlier; rows of one id with different texts are documents of
+their own, in the order of their texts' hashes `v` (0 where an id has one text); a null id counts as smaller than all
+others, and rows with null ids go by the same rules; an empty table gives no rows; other columns are ignored or,
 by remove_repeats(), kept, whatever their names.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE_WORDS, U64, Scratch, Words, batches_of_words, partitions, pieces_of, shingles, signed, text_buffers
 
@@ -121,14 +123,15 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             ids = batch.column(0)
             for lo, _, words in batches_of_words(batch.column(1)):
                 doc, h, at, n = anchors(words, window)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), ids.take(pa.array(doc + lo)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "at", "n"])
+                rows = pa.array(doc + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), ids.take(rows), batch.column(2).take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "v", "at", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, at int, n int")
+    return docs.select("doc_id", "text", "v").mapInArrow(run, "anchor long, doc_id long, v long, at int, n int")
 
 
 def _stretches(texts: DataFrame, window: int) -> DataFrame:
     """The words around each repeated anchor; those of anchors with many stretches window by window."""
-    names = ["anchor", "part", "doc_id", "at", "n", "words"]
+    names = ["anchor", "part", "doc_id", "v", "at", "n", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +139,7 @@ def _stretches(texts: DataFrame, window: int) -> DataFrame:
             lists = batch.column(2)
             bounds, fields = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
             anchor, at, n, many = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            ids = batch.column(0).to_pylist()
+            ids, versions = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for lo, hi in pieces_of(offsets):
                 plain = [b" ".join(data[offsets[d] : offsets[d + 1]].tobytes().split()) for d in range(lo, hi)]
                 whole = b"".join(plain)
@@ -147,19 +150,19 @@ def _stretches(texts: DataFrame, window: int) -> DataFrame:
                     first, last = int(words.first[d - lo]), int(words.first[d - lo + 1])
                     for k in range(bounds[d], bounds[d + 1]):
                         a, m = int(at[k]), int(n[k])
-                        if first + a + m + window - 1 > last:  # another text of the same id
+                        if first + a + m + window - 1 > last:  # another text of the same hash
                             continue
                         if many[k] <= MANY:
-                            rows.append((anchor[k], 0, ids[d], a, m, whole[starts[first + a] : ends[first + a + m + window - 2]]))
+                            rows.append((anchor[k], 0, ids[d], versions[d], a, m, whole[starts[first + a] : ends[first + a + m + window - 2]]))
                         else:
                             parts = -(-int(many[k]) // MANY)
-                            rows += [(anchor[k], int(named[first + s]) % parts, ids[d], s, 1, whole[starts[first + s] : ends[first + s + window - 1]]) for s in range(a, a + m)]
+                            rows += [(anchor[k], int(named[first + s]) % parts, ids[d], versions[d], s, 1, whole[starts[first + s] : ends[first + s + window - 1]]) for s in range(a, a + m)]
                     if len(rows) > 50_000:
                         yield _batch(rows, names)
                         rows = []
                 yield _batch(rows, names)
 
-    return texts.select("doc_id", "text", "places").mapInArrow(run, "anchor long, part int, doc_id long, at int, n int, words binary")
+    return texts.select("doc_id", "text", "places", "v").mapInArrow(run, "anchor long, part int, doc_id long, v long, at int, n int, words binary")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -191,37 +194,48 @@ class Shard:
 
 
 def _ranges(stretches: DataFrame, window: int) -> DataFrame:
-    spread = stretches.repartition(partitions(stretches.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "at")
+    spread = stretches.repartition(partitions(stretches.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "v", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard((), window)
         for batch in batches:
             out = []
-            for anchor, part, doc, at, n, words in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for anchor, part, doc, v, at, n, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if shard.key != (anchor, part):
                     shard = Shard((anchor, part), window)
-                out += shard.repeated(doc, at, n, words)
-            yield _batch(out, ["doc_id", "begin", "end"])
+                out += [(doc, v, begin, end) for _, begin, end in shard.repeated((doc, v), at, n, words)]
+            yield _batch(out, ["doc_id", "v", "begin", "end"])
 
-    return spread.select("anchor", "part", "doc_id", "at", "n", "words").mapInArrow(run, "doc_id long, begin int, end int")
+    return spread.select("anchor", "part", "doc_id", "v", "at", "n", "words").mapInArrow(run, "doc_id long, v long, begin int, end int")
+
+
+def versions(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ids (clash) of docs (doc_id, text) whose rows have different texts."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    return scratch.table(docs.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("clash")), "clashes")
+
+
+def version(text: Column) -> Column:
+    """v of a row, after a left join with the clashes."""
+    return F.when(F.col("clash").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ranges (doc_id, begin, end) of words to remove; copies (doc_id): rows whose text a smaller id has, which lose
-    all their windows; and texts (doc_id, text) of the documents that may have ranges."""
-    docs = docs.select("doc_id", "text")
-    named = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    """ranges (doc_id, v, begin, end) of words to remove; copies (doc_id, v): rows whose text a smaller id has, which
+    lose all their windows; and texts (doc_id, v, text) of the documents that may have ranges. docs: doc_id, text, v."""
+    docs = docs.select("doc_id", "text", "v")
+    named = docs.select("doc_id", "v", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     # aggregates are written before they are joined back: over one exchange, a hot key of the join is not split
     firsts = scratch.table(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "firsts")
-    copies = scratch.table(named.join(firsts, "digest").filter("doc_id <> first").select("doc_id").distinct(), "copies")
+    copies = scratch.table(named.join(firsts, "digest").filter("doc_id <> first").select("doc_id", "v").distinct(), "copies")
     found = scratch.table(_anchors(docs, window), "anchors")
     often = scratch.table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "often")
-    places = found.join(often, "anchor").join(copies, "doc_id", "left_anti")
-    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "n", "many")).alias("places"))
-    texts = scratch.table(docs.join(places, "doc_id"), "texts")
+    places = found.join(often, "anchor").join(copies, ["doc_id", "v"], "left_anti")
+    places = places.groupBy("doc_id", "v").agg(F.collect_list(F.struct("anchor", "at", "n", "many")).alias("places"))
+    texts = scratch.table(docs.join(places.withColumn("places", F.array_distinct("places")), ["doc_id", "v"]), "texts")
     scratch.drop("anchors")
     ranges = scratch.table(_ranges(_stretches(texts, window), window), "ranges")
-    return ranges, copies, texts.select("doc_id", "text")
+    return ranges, copies, texts.select("doc_id", "v", "text")
 
 
 def _cut(text: bytes, begins: list[int], ends: list[int]) -> tuple[int, bytes]:
@@ -234,39 +248,37 @@ def _cut(text: bytes, begins: list[int], ends: list[int]) -> tuple[int, bytes]:
     return len(words) - len(kept), b" ".join(kept)
 
 
-def _applied(docs: DataFrame, whole: bool, texts: bool) -> DataFrame:
-    """doc_id, n_words, n_removed and kept, a text or its SHA-256. docs: doc_id, text, ranges (null: none) and, if
-    whole, copy (all words go)."""
+def _applied(docs: DataFrame, texts: bool) -> DataFrame:
+    """doc_id, v, n_words, n_removed and kept, a text or its SHA-256. docs: doc_id, text, ranges (null: none), v."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, (doc, text, ranges) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            for doc, text, ranges, v in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = (text or "").encode()
                 n = len(raw.split())
-                if whole and batch.column(3)[i].as_py():
-                    ranges = [{"begin": 0, "end": n}]
                 gone, kept = _cut(raw, [r["begin"] for r in ranges], [r["end"] for r in ranges]) if ranges else (0, b" ".join(raw.split()))
-                rows.append((doc, n, gone, kept.decode() if texts else hashlib.sha256(kept).hexdigest()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+                rows.append((doc, v, n, gone, kept.decode() if texts else hashlib.sha256(kept).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "v", "n_words", "n_removed", "kept"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select("doc_id", "text", "ranges", "v").mapInArrow(run, "doc_id long, v long, n_words long, n_removed long, kept string")
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    return ranges.groupBy("doc_id", "v").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
 
 def removal_digests(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row. Only texts that lose words move a second time."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "substring-dedup")
+    docs = docs.join(versions(docs, scratch), F.col("doc_id") == F.col("clash"), "left").select("doc_id", "text", version(F.col("text")).alias("v"))
     ranges, copies, texts = repeated_ranges(docs, scratch, window)
-    plain = _applied(docs.withColumn("ranges", F.lit(None).cast("array<struct<begin:int,end:int>>")), False, False)
-    changed = scratch.table(_applied(texts.dropDuplicates(["doc_id"]).join(_by_document(ranges), "doc_id"), False, False), "changed")
+    plain = _applied(docs.withColumn("ranges", F.lit(None).cast("array<struct<begin:int,end:int>>")), False)
+    changed = scratch.table(_applied(texts.dropDuplicates(["doc_id", "v"]).join(_by_document(ranges), ["doc_id", "v"]), False), "changed")
     gone = copies.withColumn("copy", F.lit(True))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    out = plain.join(changed.select("doc_id", F.col("n_removed").alias("r"), F.col("kept").alias("k")), "doc_id", "left").join(gone, "doc_id", "left")
+    out = plain.join(changed.select("doc_id", "v", F.col("n_removed").alias("r"), F.col("kept").alias("k")), ["doc_id", "v"], "left").join(gone, ["doc_id", "v"], "left")
     all_gone = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= window)
     return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "n_words", F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("r", F.lit(0))).alias("n_removed"), F.when(all_gone, nothing).otherwise(F.coalesce("k", "kept")).alias("kept_sha256"))
 
@@ -275,10 +287,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """docs with repeated words removed from text_col; texts that lose nothing stay as they are."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    clashes = versions(own, scratch)
+    own = own.join(clashes, F.col("doc_id") == F.col("clash"), "left").select("doc_id", "text", version(F.col("text")).alias("v"))
     ranges, copies, _ = repeated_ranges(own, scratch, window)
-    by = _by_document(ranges).withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<struct<begin:int,end:int>>").alias("ranges"), F.lit(True).alias("copy")))
-    by = by.select(F.col("doc_id").alias("_id"), F.col("ranges").alias("_ranges"), F.col("copy").alias("_copy"))
-    joined = docs.join(by, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_id"), "left")
+    by = _by_document(ranges).withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "v", F.array().cast("array<struct<begin:int,end:int>>").alias("ranges"), F.lit(True).alias("copy")))
+    by = by.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "v", "ranges", "copy")))
+    # the caller's columns in one, so that none has a name of this join's
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("_id"), docs[text_col].cast("string").alias("_text"))
+    rows = rows.join(clashes, F.col("_id") == F.col("clash"), "left").select("_row", "_id", version(F.col("_text")).alias("_at"))
+    joined = rows.join(by, (F.col("_id") == F.col("_doc_id")) & (F.col("_at") == F.col("_v")), "left")
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*[docs[c] for c in names], "_ranges", "_copy").mapInArrow(run, schema)
+    return joined.select(*(F.col("_row").getField(c).alias(c) for c in names), "_ranges", "_copy").mapInArrow(run, schema)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 20, shard_words: int = 200_000, most_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +331,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 20, sh
             words = 0
         shards[-1].append(text)
         words += len(text)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("ranges", F.array().cast("array<struct<begin:int,end:int>>"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("ranges", F.array().cast("array<struct<begin:int,end:int>>")).withColumn("v", F.lit(0).cast("long"))
     for shard in shards:
         held = spark.sparkContext.broadcast(shard)
 
@@ -327,7 +344,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 20, sh
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     longest = np.array(automaton.matching((text or "").encode().split()), np.int64)
                     ranges[i] += [{"begin": a, "end": b + window - 1} for a, b in runs(longest[window - 1 :] >= window)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, batch.schema.field(2).type)], ["doc_id", "text", "ranges"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, batch.schema.field(2).type), batch.column(3)], ["doc_id", "text", "ranges", "v"])
 
         base = base.mapInArrow(run, base.schema)
-    return _applied(base, False, True)
+    return _applied(base, True).drop("v")

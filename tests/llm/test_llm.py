@@ -353,6 +353,26 @@ def test_substring_dedup_defined_cases(empty, odd):
     assert sorted((r["doc_id"] is None, r["n_words"], r["n_removed"]) for r in rows) == [(False, 0, 0), (False, 6, 6), (False, 6, 6), (True, 0, 0), (True, 6, 0)]
 
 
+@pytest.mark.parametrize("key", [5, None])
+def test_substring_dedup_of_different_texts_of_one_id(spark, key):
+    rng = random.Random(4)
+    passage, whole = " ".join(rng.choices(WORDS, k=25)), " ".join(rng.choices(WORDS, k=40))
+    own = [" ".join(rng.choices(WORDS, k=30)) for _ in range(4)]
+    # an id of three texts: one holds a passage of the first document, one copies it whole, one is clean; two share a passage
+    rows = [(-9, own[0] + " " + passage), (-8, whole), (key, own[1] + " " + passage), (key, whole), (key, own[2]), (key, own[3] + " " + own[2])]
+    if key is None:  # null comes first
+        rows = [(9, t) if k is not None else (None, t) for k, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(1)).withColumn("clash", F.lit("x"))
+    kept = [(r["doc_id"], r["text"]) for r in substring_dedup.remove_repeats(df, 20).collect()]
+    digests = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.removal_digests(df, 20).collect())
+    order = {(k, t): i for i, (k, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark.range(1).select(F.xxhash64(F.lit(r[1]))).first()[0])))}
+    expected = brute_dedup({i: t for (_, t), i in order.items()}, 20)
+    left = {r: " ".join(w for w, g in zip(*expected[i]) if not g) for r, i in order.items()}
+    assert sum(left[r] != r[1] for r in rows) == 3
+    assert Counter(kept) == Counter((r[0], left[r]) for r in rows)
+    assert digests == Counter((r[0], len(r[1].split()), len(r[1].split()) - len(left[r].split()), hashlib.sha256(left[r].encode()).hexdigest()) for r in rows)
+
+
 def test_suffix_automaton_matching():
     rng = random.Random(1)
     texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 30))] for _ in range(6)]
