@@ -134,6 +134,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             for i in (2, 3):
                 sides.append([s for _, _, words in batches_of_words(batch.column(i), SPACE_WORDS, LOWER) for s in shingle_sets(words, k)])
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
+                if not len(x) or not len(y):  # an empty text of an id that has others
+                    continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):

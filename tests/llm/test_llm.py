@@ -450,6 +450,18 @@ def test_near_duplicates_defined_cases(empty, odd):
     assert rows == [(-1, 0, -1, True), (-1, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
 
 
+def test_near_duplicates_of_ids_with_an_empty_text(spark):
+    a = " ".join(f"w{i}" for i in range(100))
+    b = a.replace("w50 ", "other ")
+    near = spark.createDataFrame([(1, a), (1, ""), (2, b), (2, None), (3, ""), (4, " ")], "doc_id long, text string")
+    rows = near_dedup.near_duplicates(near).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows if r["n_shingles"]) == Counter([(1, 96, 1), (2, 96, 1)])
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] > 2} == {(3, 3, True), (4, 4, True)}
+    # sets under the similarity are not linked by the ids' empty ones
+    apart = spark.createDataFrame([(1, a), (1, ""), (2, "no word of it"), (2, None)], "doc_id long, text string")
+    assert near_dedup._verified(spark.createDataFrame([(1, 2)], "a long, b long"), apart, 5, 80).count() == 0
+
+
 def test_posterior_bounds():
     least = near_dedup.least_matches(0.8, 1e-6)
     assert least == sorted(least) and all(n < 0.8 * 32 * (i + 1) for i, n in enumerate(least))
