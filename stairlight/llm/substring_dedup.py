@@ -148,7 +148,8 @@ def _stretches(texts: DataFrame, window: int) -> DataFrame:
                 starts, ends, rows = words.starts.tolist(), words.ends.tolist(), []
                 for d in range(lo, hi):
                     first, last = int(words.first[d - lo]), int(words.first[d - lo + 1])
-                    for k in range(bounds[d], bounds[d + 1]):
+                    # a repeated row has its document's places again
+                    for k in (bounds[d] + np.unique(at[bounds[d] : bounds[d + 1]], return_index=True)[1]).tolist():
                         a, m = int(at[k]), int(n[k])
                         if first + a + m + window - 1 > last:  # another text of the same hash
                             continue
@@ -232,7 +233,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = 20) -> tupl
     often = scratch.table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "often")
     places = found.join(often, "anchor").join(copies, ["doc_id", "v"], "left_anti")
     places = places.groupBy("doc_id", "v").agg(F.collect_list(F.struct("anchor", "at", "n", "many")).alias("places"))
-    texts = scratch.table(docs.join(places.withColumn("places", F.array_distinct("places")), ["doc_id", "v"]), "texts")
+    texts = scratch.table(docs.join(places, ["doc_id", "v"]), "texts")
     scratch.drop("anchors")
     ranges = scratch.table(_ranges(_stretches(texts, window), window), "ranges")
     return ranges, copies, texts.select("doc_id", "v", "text")
