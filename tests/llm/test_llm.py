@@ -435,11 +435,11 @@ def family(n, size, edits, seed):
     return out
 
 
-@pytest.mark.parametrize(("shingle", "rounds", "block"), [(4, 3, 512), (4, 0, 8), (5, 1, 8)])
-def test_near_duplicates_against_brute_force(spark, docs, texts, shingle, rounds, block):
+@pytest.mark.parametrize(("shingle", "rounds", "block", "words"), [(4, 2, 2048, 500_000), (4, 0, 8, 900), (5, 1, 8, 900)])
+def test_near_duplicates_against_brute_force(spark, docs, texts, shingle, rounds, block, words):
     more = dict(texts) | {1000 + i: t for i, t in enumerate(family(40, 120, 5, 1) + family(25, 200, 9, 2))}
     df = docs.select("doc_id", "text", "rep", "n").unionByName(spark.createDataFrame([(i, t, 1, 1) for i, t in more.items() if i >= 1000], "doc_id long, text string, rep int, n int"))
-    rows = near_dedup.near_duplicates(df, shingle=shingle, rounds=rounds, block=block).collect()
+    rows = near_dedup.near_duplicates(df, shingle=shingle, rounds=rounds, block=block, block_shingles=words).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_near(more, shingle)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
@@ -458,8 +458,32 @@ def test_near_duplicates_of_ids_with_an_empty_text(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows if r["n_shingles"]) == Counter([(1, 96, 1), (2, 96, 1)])
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] > 2} == {(3, 3, True), (4, 4, True)}
     # sets under the similarity are not linked by the ids' empty ones
-    apart = spark.createDataFrame([(1, a), (1, ""), (2, "no word of it"), (2, None)], "doc_id long, text string")
-    assert near_dedup._verified(spark.createDataFrame([(1, 2)], "a long, b long"), apart, 5, 80).count() == 0
+    apart = spark.createDataFrame([(1, a), (1, ""), (2, a.replace("w", "v")), (2, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(apart).collect()} == {(1, 1), (2, 2)}
+
+
+def test_similar_counts_full_sets():
+    one, sets = np.arange(100, dtype=np.uint64), [np.arange(20, 100, dtype=np.uint64), np.arange(21, 100, dtype=np.uint64), np.arange(11, 111, dtype=np.uint64), np.zeros(0, np.uint64)]
+    assert near_dedup.similar(one, sets, 80).tolist() == [True, False, True, False]
+    assert near_dedup.similar(sets[3], sets, 80).tolist() == [False] * 4
+
+
+def test_a_block_gives_fewer_links_than_members():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.sort(np.concatenate([rng.permutation(base)[n:], rng.integers(0, 1 << 63, n).astype(np.uint64)])) for n in rng.integers(15, 36, 60)]
+    pairs = [(a, b) for a in range(60) for b in range(a) if near_dedup.similar(sets[a], [sets[b]], 80)[0]]
+    assert 0 < len(pairs) < 1770
+    rows = [(0, 0, 0, 0, 0, i, i, near_dedup.signature(s).tobytes()) for i, s in enumerate(sets)]
+    found = near_dedup.linked(near_dedup.Block(rows, near_dedup.least_matches(0.8, 1e-6)), sets, 80)
+
+    def groups(edges):
+        at = list(range(60))
+        for a, b in edges:
+            at = [at[a] if x == at[b] else x for x in at]
+        return sorted(sorted(i for i in range(60) if at[i] == x) for x in set(at))
+
+    assert len(found) < 60 and groups(found) == groups(pairs)
 
 
 def test_posterior_bounds():
