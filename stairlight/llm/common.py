@@ -6,6 +6,7 @@ word gets a 64-bit hash from one polynomial pass, so no Python object is made pe
 
 from __future__ import annotations
 
+import functools
 import sys
 import tempfile
 import types
@@ -90,6 +91,22 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+@functools.lru_cache(maxsize=4)
+def _powers_of(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.ones(1, U64)
+        while len(p) < size:
+            p = np.concatenate([p, p * U64(pow(b, len(p), 1 << 64))])
+        out.append(p)
+    return out[0], out[1]
+
+
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base and of its inverse, modulo 2**64."""
+    return _powers_of(1 << max(12, (n - 1).bit_length()), base)
+
+
 def _table(separators: bytes) -> np.ndarray:
     t = np.ones(256, bool)
     t[list(separators)] = False

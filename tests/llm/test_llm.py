@@ -362,7 +362,7 @@ def test_substring_dedup_of_different_texts_of_one_id(spark, key):
     rows = [(-9, own[0] + " " + passage), (-8, whole), (key, own[1] + " " + passage), (key, whole), (key, own[2]), (key, own[3] + " " + own[2])]
     if key is None:  # null comes first
         rows = [(9, t) if k is not None else (None, t) for k, t in rows]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(1)).withColumn("clash", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(1)).withColumn("clash", F.lit("x")).withColumn("_ranges", F.lit("y")).withColumn("_copy", F.lit(2)).withColumn("_row", F.lit(3))
     kept = [(r["doc_id"], r["text"]) for r in substring_dedup.remove_repeats(df, 20).collect()]
     digests = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.removal_digests(df, 20).collect())
     order = {(k, t): i for i, (k, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark.range(1).select(F.xxhash64(F.lit(r[1]))).first()[0])))}
@@ -373,6 +373,19 @@ def test_substring_dedup_of_different_texts_of_one_id(spark, key):
     assert digests == Counter((r[0], len(r[1].split()), len(r[1].split()) - len(left[r].split()), hashlib.sha256(left[r].encode()).hexdigest()) for r in rows)
 
 
+def test_substring_dedup_of_a_window_in_very_many_documents(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id").cast("string"), F.lit(passage), F.col("id").cast("string"), F.lit("z")).alias("text"))
+    rows = substring_dedup.removal_digests(df, 20).groupBy("n_words", "n_removed").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d")).collect()
+    assert sorted(tuple(r) for r in rows) == [(34, 0, 1, 0), (34, 30, 5999, 1)]
+
+
+def test_stretch_names_follow_words():
+    h = np.array([5, 6, 7, 5, 6, 7, 5, 6], np.uint64)
+    names = substring_dedup.stretch_names(h, np.array([0, 3, 1, 0, 5]), np.array([3, 6, 4, 2, 8]))
+    assert names[0] == names[1] and len(set(names.tolist())) == 4
+
+
 def test_suffix_automaton_matching():
     rng = random.Random(1)
     texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 30))] for _ in range(6)]
