@@ -7,6 +7,7 @@ word gets a 64-bit hash from one polynomial pass, so no Python object is made pe
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import tempfile
 import types
@@ -25,9 +26,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; only an unset one is replaced, for tests on one machine."""
+    """The folder all executors share; where none is set, one of this machine's, if all runs in the driver's process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stairlight-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -211,6 +214,44 @@ def shingles(hashes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.n
     return mix(h)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, and for each byte the number of characters that begin before it or at it."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = data[at].astype(np.uint32)
+    if len(at) < len(data):
+        tail = [data[np.minimum(at + j, len(data) - 1)].astype(np.uint32) & 63 for j in (1, 2, 3)]
+        two, three, four = (first & 31) << 6 | tail[0], (first & 15) << 12 | tail[0] << 6 | tail[1], (first & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+        first = np.select([first < 0xC0, first < 0xE0, first < 0xF0], [first, two, three], four)
+    return first, np.cumsum(lead)
+
+
+class Bordered:
+    """The characters of all words in a row, with a space before, between and after them."""
+
+    def __init__(self, words: Words):
+        points, upto = code_points(words.data)
+        begin = upto[words.starts] - 1 if len(words.starts) else np.zeros(0, np.int64)
+        lengths = upto[words.ends - 1] - begin if len(words.starts) else begin
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        place = np.arange(before[-1]) + np.repeat(np.arange(1, len(lengths) + 1), lengths)
+        self.flat = np.full(before[-1] + len(lengths) + 1, 32, U64)
+        self.flat[place] = points[ranges(begin, lengths)]
+        self.border = np.ones(len(self.flat), bool)
+        self.border[place] = False
+        self.first = before[words.first] + words.first
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n characters in a row of a word with its borders, and where each document's begin."""
+        m = max(len(self.flat) - n + 1, 0)
+        code, inside = self.flat[:m].copy(), np.ones(m, bool)
+        for j in range(1, n):
+            code = code * U64(_BASE) + self.flat[j : j + m]
+            if j < n - 1:
+                inside &= ~self.border[j : j + m]
+        return mix(code[inside] + U64(n << 56)), np.concatenate([[0], np.cumsum(inside)])[np.minimum(self.first, m)]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated arange(start, start + length)."""
     total = int(lengths.sum())

@@ -75,7 +75,35 @@ def as_text(sketch: str) -> Column:
     return F.concat_ws("", F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")))
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 8 << 20) -> DataFrame:
+def _below(marks: list[int], value: Column, equal: bool) -> Column:
+    """How many of the ascending marks are smaller than value (or equal to it): a binary search."""
+    if not marks:
+        return F.lit(0).cast("long")
+    steps = [1 << i for i in reversed(range(len(marks).bit_length()))]
+    table = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")  # folded into one constant
+    inside = lambda m: m <= value if equal else m < value
+    step = lambda at, s: F.when((at + s <= len(marks)) & inside(F.get(table, (at + s - 1).cast("int"))), at + s).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)).cast("array<bigint>"), F.lit(0).cast("long"), step)
+
+
+def with_range(base: DataFrame, buckets: int) -> DataFrame:
+    """base (doc_id, text) with tie and bucket: ranges of (doc_id, tie) of about equal counts, null ids first.
+
+    An id that many rows share lies on several marks; its rows, and those with null ids, are cut by their tie, a
+    hash of the text, so that no range holds them all. Marks are approximate, which moves no row out of order."""
+    found = base.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100_000).alias("m"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
+    marks, nulls = sorted(found["m"] or []), found["n"] - found["known"]
+    rows = base.withColumn("tie", F.xxhash64("text"))
+    part = F.col("tie") / F.lit(float(1 << 64)) + 0.5  # in [0, 1], ascending with tie
+    low, high = _below(marks, F.col("doc_id"), False), _below(marks, F.col("doc_id"), True)
+    own = max(1, -(-nulls * buckets // max(found["n"], 1)))
+    first = F.least(F.floor(part * own), F.lit(own - 1)) - own
+    rows = rows.withColumn("low", low).withColumn("high", high)
+    cut = F.col("low") + F.least(F.floor(part * (F.col("high") - F.col("low") + 1)), F.col("high") - F.col("low"))
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), first).otherwise(cut).cast("long")).drop("low", "high")
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, text and next_text: the text of the next document by id, the first one's after the last.
 
     Ids are cut into ranges of about equal counts, small enough for a task; each range also gets the first row of
@@ -84,15 +112,11 @@ def with_next(df: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 8 <
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = df.sparkSession
     size = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = int(min(10_000, max(4 * partitions(spark), size // bucket_bytes)))
-    marks = base.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100_000).alias("m")).first()["m"] or []
-    marks = sorted(set(marks))
-    bucket = F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<bigint>"), lambda m: m <= F.col("doc_id"))) if marks else F.lit(0)
-    rows = base.withColumn("tie", F.xxhash64("text")).withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)).withColumn("borrowed", F.lit(0))
-    heads = sorted((r["bucket"], r["h"]["doc_id"], r["h"]["tie"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("h")).collect())
+    rows = with_range(base, int(max(4 * partitions(spark), size // bucket_bytes))).withColumn("borrowed", F.lit(0))
+    heads = sorted(((r["bucket"], r["h"]["doc_id"], r["h"]["tie"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("h")).collect()), key=lambda h: h[0])
     if heads:
         lent = [(*heads[i][1:], heads[i - 1][0]) for i in range(len(heads))]
-        lent = F.broadcast(spark.createDataFrame(lent, "h_id long, h_tie long, h_bucket int"))  # one row a range
+        lent = F.broadcast(spark.createDataFrame(lent, "h_id long, h_tie long, h_bucket long"))  # one row a range
         first = rows.drop("bucket", "borrowed").join(lent, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")))
         first = first.select("doc_id", "text", "tie", F.col("h_bucket").alias("bucket"), F.lit(1).alias("borrowed")).dropDuplicates(["bucket", "doc_id", "tie"])
         rows = rows.unionByName(first)

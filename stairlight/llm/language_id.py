@@ -135,17 +135,18 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; whole texts, one pass, no exchange. The filters are of bounded size."""
-    schema = docs.drop("lang_pred", "score").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0).cast("double")).schema
-    plain = docs.drop("lang_pred", "score").withColumn("_read", F.col(text_col).cast("string"))
+    """docs with lang_pred and score, in place of columns of these names; whole texts, one pass, no exchange. The filters
+    are of bounded size."""
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    plain = docs.select(docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    schema = plain.drop("text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0).cast("double")).schema
     held = docs.sparkSession.sparkContext.broadcast((filters.names, filters.table, filters.counts, filters.probes))
-    names = [f.name for f in schema][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filters(*held.value)
         usual = own.names[int(np.argmax(own.counts))] if own.names else "und"
         for batch in batches:
-            data, offsets = text_buffers(batch.column(batch.schema.get_field_index("_read")))
+            data, offsets = text_buffers(batch.column(0))
             langs, scores = [], []
             for lo, hi in pieces_of(offsets):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -153,6 +154,6 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
                 for i, letter in enumerate(has_letter(part, at)):
                     langs.append("und" if not letter else own.names[best[i]] if best[i] >= 0 else usual)
                     scores.append(float(score[i]) if letter else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score")

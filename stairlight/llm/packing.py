@@ -12,6 +12,7 @@ an empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,8 +32,19 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Words of these characters are cut, folded and mapped here; all others go through the whole tokenizer.
 _PLAIN = re.compile(r"[!-~À-ÖØ-Þß-öø-ÿ]*\Z")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The vocabulary file's settings under which words may be encoded one by one and plain ones cut here.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
 
 
+def _is_known(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        own = json.load(file)
+    plain = all(not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in own["added_tokens"])
+    return plain and own["model"]["type"] == "BPE" and all(own.get(k) == v for k, v in _KNOWN.items())
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,16 +56,16 @@ def _byte_letters() -> dict[int, int]:
 class WordEncoder(dict):
     """Ids of one white-space separated word as little-endian bytes, remembered up to `limit` words.
 
-    The vocabulary's pre-tokenizer never crosses white space, so a text's ids are its words' ids in a row.
-    Plain words are cut by the pre-tokenizer's own pattern and each part is remembered too, because parts
-    repeat far more often than words."""
+    A pre-tokenizer of the known kind never crosses white space, so a text's ids are its words' ids in a row.
+    Plain words are cut by its pattern and each part is remembered too, because parts repeat far more often than words.
+    With a vocabulary of other settings, every text goes through the whole tokenizer."""
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts, self.limit = Tokenizer.from_file(path), {}, limit
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), _is_known(path)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,6 +92,8 @@ class WordEncoder(dict):
         return out
 
     def text(self, text: bytes) -> bytes:
+        if not self.known:
+            return self._encode(text.decode())
         return b"".join(map(self.__getitem__, text.split()))
 
 

@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and hashed byte n-grams; a softmax layer on top
-gives the class. Vectors and layer are fitted together by stochastic gradient descent in numpy, on a bounded
-sample of the labelled documents (`sample_rows`; those with the smallest seeded hashes of their ids). Because average and layer are linear, scoring needs one
-number a bucket: its vector times the layer.
+A document is the average of learned vectors of its hashed words and of the hashed character n-grams of its words (each
+with a border before and after); a softmax layer on top gives the class. Vectors and layer are fitted together by stochastic
+gradient descent in numpy, on a bounded sample of the labelled documents: at most `sample_rows`, those with the smallest seeded
+hashes of their ids, and of these, in that order, those that together stay within `sample_bytes`. Because average and
+layer are linear, scoring needs one number a bucket: its vector times the layer.
 
 Defined cases: a null text is empty; an empty text has the score of the bias alone; without labels of both classes
 every score is the share of label 1 (0.5 without labels); repeated rows score alike; an id that is null has no
-label; of conflicting labels of an id the larger counts; an empty table gives no rows; other columns are ignored,
+label; of conflicting labels of an id the larger counts, and of its texts the smallest; an empty table gives no rows; other columns are ignored,
 whatever their names.
 """
 
@@ -20,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE_WORDS, U64, Words, mix, pieces_of, text_buffers
+from .common import SPACE_WORDS, U64, Bordered, Scratch, Words, mix, pieces_of, text_buffers
 
 BITS = 16
 GRAMS = (3, 4)
@@ -28,23 +29,11 @@ GRAMS = (3, 4)
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, grams: tuple = GRAMS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of bucket numbers and n + 1 positions: where each document's features of that kind begin."""
-    shift, out = U64(64 - bits), []
+    shift = U64(64 - bits)
     words = Words(data, offsets, SPACE_WORDS)
-    out.append(((mix(words.hashes + U64(1)) >> shift).astype(np.int32), words.first))
-    wide = data.astype(U64)
-    for n in grams:
-        m = max(len(data) - n + 1, 0)
-        code = wide[:m].copy()
-        for j in range(1, n):
-            code |= wide[j : j + m] << U64(8 * j)
-        buckets = (mix(code + U64(n << 56)) >> shift).astype(np.int32)
-        inside = np.ones(m, bool)  # a gram must end in the document it begins in
-        for j in range(1, n):
-            ends = offsets[1:-1] - j
-            inside[ends[(ends >= 0) & (ends < m)]] = False
-        first = np.concatenate([[0], np.cumsum(inside)])[np.minimum(offsets, m)]
-        out.append((buckets[inside], first))
-    return out
+    rows, out = Bordered(words), [(mix(words.hashes + U64(1)), words.first)]
+    out += [rows.grams(n) for n in grams]
+    return [((h >> shift).astype(np.int32), first) for h, first in out]
 
 
 class Model:
@@ -109,43 +98,53 @@ def fit(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 6, rate
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most `sample_rows` labelled documents. Only their ids (a bounded list) and the fitted numbers
-    reach the driver; texts go to the one task that fits."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, sample_bytes: int = 64 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on the bounded sample of labelled documents. Only their ids (a bounded list) and the fitted numbers reach the
+    driver; texts go to the one task that fits."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).collect()
+    place = {r["id"]: i for i, r in enumerate(chosen)}
     chosen = F.broadcast(spark.createDataFrame(chosen, known.schema))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "id")
+    sample = scratch.table(sample.groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text").cast("long")), "sample")
+    fits, total = [], 0
+    for row in sorted(sample.select("id", "size").collect(), key=lambda r: place[r["id"]]):
+        if total + row["size"] <= sample_bytes:
+            fits.append((row["id"],))
+            total += row["size"]
+    sample = sample.join(F.broadcast(spark.createDataFrame(fits, "id long")), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "text"]).drop_duplicates("id")
+        pdf = pdf.sort_values("id")
         model = fit(pa.array(pdf["text"], pa.string()), pdf["label"].to_numpy())
         return pd.DataFrame({"scores": [model.scores.tobytes()], "bias": [model.bias]})
 
-    fitted = sample.groupBy(F.lit("all")).applyInPandas(run, "scores binary, bias double").collect()
+    fitted = sample.select("id", "label", "text").groupBy(F.lit("all")).applyInPandas(run, "scores binary, bias double").collect()
+    scratch.drop("sample")
     if not fitted:
         return Model(np.zeros(1 << BITS), 0.0)
     return Model(np.frombuffer(bytes(fitted[0]["scores"]), np.float32), fitted[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the probability of label 1; whole texts, one pass, no exchange. The model is of fixed size."""
-    plain = docs.withColumn("_scored", F.col(text_col).cast("string"))
-    schema = docs.drop(out).withColumn(out, F.lit(0.0).cast("double")).schema
+    """docs with the probability of label 1 in column `out`, in place of one of that name; whole texts, one pass, no
+    exchange. The model is of fixed size."""
+    kept = [c for c in docs.columns if c != out]
+    plain = docs.select(docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    schema = plain.drop("text").withColumn("out", F.lit(0.0).cast("double")).schema
     held = docs.sparkSession.sparkContext.broadcast((model.scores, model.bias))
-    names = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(batch.schema.get_field_index("_scored")))
+            data, offsets = text_buffers(batch.column(0))
             z = [own.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in pieces_of(offsets, 1 << 20)]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate([*z, []]), -50, 50)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(p)], [*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], schema.names)
 
-    return plain.drop(out).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -6,10 +6,12 @@ were committed: a lost executor leaves an orphan file at worst. Reads of selecte
 and offset, and ranges close to each other become one read.
 
 Of records with equal payloads of `least` bytes or more, that with the largest page id is the response and the
-others are revisits of it. Defined cases: a null payload is empty; a null id sorts below all others and is written
-as id -1; a null URL leaves the header out, and bytes that no header can hold are percent-encoded; repeated rows are
-records each, of which those that hold the largest id are all responses; an empty table gives an empty index; other
-columns are ignored, whatever their names.
+others are revisits of it. A page's id is a header of its own; a record's id is named by page id and payload, and by its place
+in an archive too where several rows have both alike, so no two records share one. Defined cases: a null payload is empty; a
+null id sorts below all others, leaves its header out and comes back as null; a null URL leaves the header out, and bytes that
+no header can hold are percent-encoded; repeated rows are records each, of which those that hold the largest id are all
+responses (their revisits name the page, not one of the records); an empty table gives an empty index; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions, shared_root
+from .common import Scratch, partitions, shared_root
 
 INDEX = "page_id long, url string, payload_digest string, record_type string, archive string, `offset` long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: Extension headers: the page's id, and for revisits that of the response's page.
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
+#: Rows (of a digest, ids and a URL) that are broadcast at most.
+MARKED = 200_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -45,29 +51,27 @@ def open_store(root: str):
     return fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
 
 
-def record_id(page: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=page & (1 << 64) - 1)}>"
-
-
-def _page(record: str) -> int:
-    n = uuid.UUID(record.removeprefix("<urn:uuid:").removesuffix(">")).int
-    return n - (1 << 64) if n >= 1 << 63 else n
+def record_id(page: int | None, named: str, place: str = "") -> str:
+    """Of the record of a page id with a payload of that digest; place: where there are several such."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page} {named} {place}'.encode()).digest()[:16], version=5)}>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page: int, url: str | None, payload: bytes, keeper: int | None, keeper_url: str | None, date: str) -> tuple[bytes, str]:
-    """One record's bytes and its payload's digest; a keeper makes it a revisit."""
+def make_record(page: int | None, url: str | None, payload: bytes, keeper: int | None, keeper_url: str | None, date: str, place: str = "", many: bool = False) -> tuple[bytes, str]:
+    """One record's bytes and its payload's digest; a keeper makes it a revisit (many: several records are the keeper's)."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block, named = http + payload if keeper is None else http, digest(payload)
     uri = lambda u: quote(u, safe="!#$%&'()*+,/:;=?@[]~-._")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if keeper is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if keeper is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, named, place)}", f"WARC-Date: {date}"]
+    if page is not None:
+        lines.append(f"{PAGE}: {page}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {uri(url)}")
     if keeper is not None:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(keeper)}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"{REFERS}: {keeper}", *[f"WARC-Refers-To: {record_id(keeper, named)}"] * (not many)]
         if keeper_url is not None:
             lines.append(f"WARC-Refers-To-Target-URI: {uri(keeper_url)}")
     lines += [f"WARC-Payload-Digest: sha1:{named}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -86,29 +90,37 @@ def parse_record(raw: bytes) -> dict:
     kind = headers["WARC-Type"]
     if not version.startswith("WARC/") or rest[len(block) :] != b"\r\n\r\n" or kind == "response" and (len(payload) != size or digest(payload) != named):
         raise ValueError(f"damaged record {headers.get('WARC-Record-ID')}")
-    refers = headers.get("WARC-Refers-To")
-    return {"page_id": _page(headers["WARC-Record-ID"]), "url": headers.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": named, "record_type": kind, "refers_to": refers and _page(refers), "payload": payload if kind == "response" else None}
+    number = lambda name: int(headers[name]) if name in headers else None
+    return {"page_id": number(PAGE), "url": headers.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": named, "record_type": kind, "refers_to": number(REFERS), "payload": payload if kind == "response" else None}
 
 
-def with_keepers(pages: DataFrame, least: int, id_col: str, url_col: str, text_col: str) -> DataFrame:
-    """page_id, url, payload and, for revisits, keeper and keeper_url.
+def with_keepers(pages: DataFrame, scratch: Scratch, least: int, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    """page_id, url, payload; for revisits keeper, keeper_url and whether several rows are the keeper (many); and whether
+    several rows have this id and payload (alike).
 
-    Keepers are found on digests alone (an aggregate, so a hot payload is combined before the exchange); payloads
-    move once, by page id."""
+    All is found on digests (aggregates, so a hot payload is combined before the exchange) and written. What is marked is
+    broadcast where it is at most MARKED rows; beyond, payloads move once, by page id and digest."""
     payload = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    slim = rows.select("page_id", "url", "sha", F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= least)
-    best = slim.groupBy("sha", "bytes").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "best")
-    revisits = slim.join(best, "sha").filter("page_id <> best.page_id").select("page_id", "sha", F.col("best.page_id").alias("keeper"), F.col("best.url").alias("keeper_url")).distinct()
-    return rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "payload", "keeper", "keeper_url")
+    slim = rows.select("page_id", "url", "sha", F.octet_length("payload").alias("bytes"))
+    each = scratch.table(slim.groupBy("sha", "bytes", "page_id").agg(F.max("url").alias("url"), F.count(F.lit(1)).alias("n")), "each")
+    best = each.groupBy("sha", "bytes").agg(F.max(F.struct("page_id", "url", "n")).alias("best"), F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > 1).filter(F.col("bytes") >= least)
+    best = scratch.table(best.select(F.col("sha").alias("s"), "best"), "best")
+    marks = each.join(best, F.col("sha") == F.col("s"), "left").withColumn("revisit", F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best.page_id")))
+    when = lambda c: F.when(F.col("revisit"), F.col(c))
+    marks = marks.filter("revisit or n > 1").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), when("best.page_id").alias("keeper"), when("best.url").alias("keeper_url"), (F.col("best.n") > 1).alias("many"), (F.col("n") > 1).alias("alike"))
+    marks = scratch.table(marks, "marks")
+    marks = F.broadcast(marks) if marks.count() <= MARKED else marks
+    out = rows.join(marks, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
+    return out.select("page_id", "url", "payload", "keeper", "keeper_url", F.coalesce("many", F.lit(False)).alias("many"), F.coalesce("alike", F.lit(False)).alias("alike"))
 
 
 def write_archives(pages: DataFrame, root: str | None = None, least: int = 0, date: str = "1970-01-01T00:00:00Z", roll_bytes: int = 1 << 30, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Write every row as a record and return the index, itself a written table under root."""
     spark = pages.sparkSession
     root = root or f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
-    schema = _schema(INDEX)
+    schema, scratch = _schema(INDEX), Scratch(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(f"{root}/archives")
@@ -116,14 +128,14 @@ def write_archives(pages: DataFrame, root: str | None = None, least: int = 0, da
         try:
             for batch in batches:
                 rows = []
-                for page, url, payload, keeper, keeper_url in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for page, url, payload, keeper, keeper_url, many, alike in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                     if out is None or at >= roll_bytes:
                         if out is not None:
                             out.close()
                         store.create_dir(folder, recursive=True)
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{folder}/{name}", compression=None)
-                    raw, named = make_record(page, url, payload, keeper, keeper_url, date)
+                    raw, named = make_record(page, url, payload, keeper, keeper_url, date, f"{name} {at}" if alike else "", many)
                     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
                     raw = squeeze.compress(raw) + squeeze.flush()
                     out.write(raw)
@@ -134,8 +146,9 @@ def write_archives(pages: DataFrame, root: str | None = None, least: int = 0, da
             if out is not None:
                 out.close()
 
-    index = with_keepers(pages, least, id_col, url_col, text_col).mapInArrow(run, INDEX)
+    index = with_keepers(pages, scratch, least, id_col, url_col, text_col).mapInArrow(run, INDEX)
     index.write.mode("overwrite").parquet(f"{root}/index")
+    scratch.drop("each", "best", "marks")
     return spark.read.schema(INDEX).parquet(f"{root}/index").withColumn("root", F.lit(root))
 
 

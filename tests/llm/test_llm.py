@@ -117,6 +117,18 @@ def test_word_encoder_equals_tokenizer():
         assert np.frombuffer(enc.text(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_go_through_the_whole_tokenizer(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    tok = Tokenizer(models.BPE({"a": 0, " ": 1, "a ": 2, "A": 3, "b": 4, "?": 5}, [("a", " ")], unk_token="?"))
+    tok.pre_tokenizer, tok.normalizer = pre_tokenizers.Split("x", "isolated"), normalizers.NFD()
+    tok.save(str(tmp_path / "t.json"))
+    enc = packing.WordEncoder(str(tmp_path / "t.json"))
+    for t in ["a a b", "A  a", ""]:
+        assert np.frombuffer(enc.text(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert not enc.known and packing.WordEncoder(tokenizer()[0]).known
+
+
 @pytest.mark.parametrize(("length", "group"), [(64, 2), (4096, 256)])
 def test_packing_round_trip(docs, texts, length, group):
     path, tok = tokenizer()
@@ -543,6 +555,26 @@ def test_fingerprints_defined_cases(empty, odd):
     assert len(fingerprints.fingerprints(odd).collect()) == 5
 
 
+@pytest.mark.parametrize("ids", ["many of one id", "many nulls", "plain"])
+def test_ranges_keep_the_order_and_cut_hot_ids(spark, ids):
+    hot = {"many of one id": 7, "many nulls": None, "plain": 0}[ids]
+    rows = [(i if ids == "plain" or i % 3 else hot, f"text {i} {i * i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["tie"], r["bucket"]) for r in fingerprints.with_range(df, 24).collect()), key=lambda r: r[:3])
+    assert [r[3] for r in found] == sorted(r[3] for r in found)
+    assert len(found) == 900 and max(Counter(r[3] for r in found).values()) < 110
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(df, "doc_id", "text").filter("borrowed = 0").collect()]
+    tie = {r["text"]: r["tie"] for r in fingerprints.with_range(df, 24).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))]
+    assert {t: n for _, t, n in got} == {t: order[(i + 1) % 900] for i, t in enumerate(order)}
+
+
+def test_binary_search_of_marks(spark):
+    marks = [-5, 0, 0, 3, 3, 3, 9]
+    got = spark.range(-7, 12).select("id", fingerprints._below(marks, F.col("id"), True).alias("le"), fingerprints._below(marks, F.col("id"), False).alias("lt")).collect()
+    assert all(r["le"] == sum(m <= r["id"] for m in marks) and r["lt"] == sum(m < r["id"] for m in marks) for r in got)
+
+
 def test_fingerprints_plan_has_no_python(docs):
     plan = fingerprints.fingerprints(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -568,6 +600,79 @@ def test_quality_defined_cases(spark, docs, empty, odd):
     assert clash.columns.count("score") == 1 and dict(clash.dtypes)["score"] == "double"
 
 
+def test_operators_keep_columns_of_their_own_working_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z", "w")], "doc_id long, text string, _scored string, _read string, c0 string, out string")
+    scored = quality.score(docs, quality.Model(np.zeros(1 << quality.BITS), 0.0))
+    assert scored.first().asDict() == docs.first().asDict() | {"score": 0.5}
+    assert language_id.identify(docs, language_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))).first().asDict() == docs.first().asDict() | {"lang_pred": "und", "score": 0.0}
+
+
+def char_grams(text, n):
+    return [g[i : i + n] for w in words(text) for g in [f" {w} "] for i in range(len(g) - n + 1)]
+
+
+def test_quality_features_are_words_and_their_character_grams():
+    texts = ["ab cd  ünïx", None, "字 𝒳yz a", "", "a"]
+    data, offsets = common.text_buffers(pa.array(texts))
+    for kind, n in zip(quality.features(data, offsets, 40), (0, 3, 4), strict=True):
+        buckets, first = kind
+        names = {}
+        for i, t in enumerate(texts):
+            expected = char_grams(t, n) if n else words(t)
+            own = buckets[first[i] : first[i + 1]].tolist()
+            assert len(own) == len(expected)
+            for g, b in zip(expected, own, strict=True):
+                assert names.setdefault(g, b) == b
+        assert len(set(names.values())) == len(names)
+
+
+def brute_sgd(texts, labels, dim=8, epochs=6, rate=0.5, seed=5):
+    """The same descent, number by number."""
+    size, rng = 1 << quality.BITS, np.random.default_rng(seed)
+    vectors, layer, bias = rng.uniform(-1, 1, (size, dim)) / dim, (rng.uniform(-1, 1, (dim, 2)) / dim).tolist(), [0.0, 0.0]
+    seen, seen_layer, done = [1e-8] * size, 1e-4, 0
+    docs = []
+    for t in texts:
+        data, offsets = common.text_buffers(pa.array([t]))
+        own = Counter(int(b) for buckets, _ in quality.features(data, offsets) for b in buckets)
+        docs.append({b: c / max(1, sum(own.values())) for b, c in own.items()})
+    for _ in range(epochs):
+        for i in rng.permutation(len(docs)):
+            pace = rate * (1 - done / (epochs * len(docs)))
+            hidden = [sum(w * vectors[b, k] for b, w in docs[i].items()) for k in range(dim)]
+            z = [sum(hidden[k] * layer[k][c] for k in range(dim)) + bias[c] for c in (0, 1)]
+            p = [math.exp(x - max(z)) for x in z]
+            err = [x / sum(p) - (labels[i] == c) for c, x in enumerate(p)]
+            back = [sum(layer[k][c] * err[c] for c in (0, 1)) for k in range(dim)]
+            seen_layer += sum((hidden[k] * err[c]) ** 2 for k in range(dim) for c in (0, 1))
+            for k in range(dim):
+                for c in (0, 1):
+                    layer[k][c] -= pace * hidden[k] * err[c] / math.sqrt(seen_layer)
+            bias = [bias[c] - 0.05 * pace * err[c] for c in (0, 1)]
+            for b, w in docs[i].items():
+                seen[b] += w * w * sum(x * x for x in back)
+                for k in range(dim):
+                    vectors[b, k] -= pace * w / math.sqrt(seen[b]) * back[k]
+            done += 1
+    logit = lambda d: sum(w * sum(vectors[b, k] * (layer[k][1] - layer[k][0]) for k in range(dim)) for b, w in d.items()) + bias[1] - bias[0]
+    return [logit(d) for d in docs]
+
+
+def test_quality_fit_against_plain_python(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS[: 40] if i % 2 else WORDS[25:], k=rng.randint(1, 40))) for i in range(40)] + ["", "Ünï çé"]
+    labels = [i % 2 for i in range(42)]
+    expected = brute_sgd(texts, labels)
+    data, offsets = common.text_buffers(pa.array(texts))
+    assert quality.fit(pa.array(texts), np.array(labels)).logits(data, offsets) == pytest.approx(expected, abs=1e-3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, known).collect()}
+    for i, z in enumerate(expected):
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
+    assert quality.train(docs, known, sample_bytes=0).scores.any() == False  # noqa: E712  nothing fits in the bound
+
+
 def test_quality_score_is_the_softmax_of_the_average():
     data, offsets = common.text_buffers(pa.array(["ab cd", "", "x"]))
     model = quality.Model(np.arange(1 << quality.BITS) / (1 << quality.BITS), -0.25)
@@ -590,10 +695,39 @@ def test_language_defined_cases(spark, empty, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_language_grams_and_decision_against_plain_sets():
+    rng = random.Random(8)
+    corpora = {lang: ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)] for lang, letters in (("aa", "abcdü"), ("bb", "cdefg"), ("cc", "efgh字"))}
+    texts = [" ".join(rng.choices(corpora[lang], k=30)) for lang in ("aa", "bb", "cc") for _ in range(8)] + ["", "zzzz", "A"]
+
+    def plain(text):
+        raw = [f" {w} ".encode() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", fold(text))]
+        return [w[i : i + n] for n in language_id.SIZES for w in raw for i in range(len(w) - n + 1)]
+
+    data, offsets = common.text_buffers(pa.array(texts))
+    hashes, first = language_id.grams(data, offsets)
+    names = {}
+    for i, t in enumerate(texts):
+        own = hashes[first[i] : first[i + 1]].tolist()
+        assert len(own) == len(plain(t))
+        for g, h in zip(plain(t), own, strict=True):
+            assert names.setdefault(g, h) == h
+    assert len(set(names.values())) == len(names)
+    sets = {lang: {g for w in corpus_words for g in plain(w)} for lang, corpus_words in corpora.items()}
+    learned = {lang: np.array(sorted(names[g] for g in own if g in names), np.uint64) for lang, own in sets.items()}
+    best, score = language_id.Filters.build(learned, dict.fromkeys(learned, 1), probes=4, bits_each=64).decide(hashes, first)
+    for i, t in enumerate(texts):
+        counts = [sum(g in sets[lang] for g in plain(t)) for lang in sorted(sets)]
+        if not any(counts):
+            assert best[i] == -1
+        else:
+            assert counts[best[i]] == max(counts) and score[i] == pytest.approx(max(counts) / len(plain(t)), abs=0.02)
+
+
 def test_bit_sliced_filters_return_all_languages():
     sets = {f"l{i:02}": np.arange(i * 50, i * 50 + 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(70)}
     filters = language_id.Filters.build(sets, dict.fromkeys(sets, 1))
-    probe = np.uint64(3000) * np.uint64(0x9E3779B97F4A7C15)
+    probe = (np.array([3000], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
     mask = filters.lookup(np.array([probe]))[0]
     has = {n for i, n in enumerate(filters.names) if mask[i // 64] >> np.uint64(i % 64) & np.uint64(1)}
     assert {n for n, s in sets.items() if probe in s} <= has and filters.table.shape[1] == 2
@@ -637,8 +771,21 @@ def test_warc_defined_cases(spark, pages):
     twice = pages.filter("page_id = 5").unionByName(pages.filter("page_id in (1, 5)"))
     kinds = sorted((r["page_id"], r["record_type"]) for r in warc.read_records(warc.write_archives(twice)).collect())
     assert kinds == [(1, "revisit"), (5, "response"), (5, "response")]
-    nothing = spark.createDataFrame([(None, None, None)], "page_id long, url string, html string")
-    assert warc.read_records(warc.write_archives(nothing)).first()["page_id"] == -1
+    some = [(None, None, None), (-1, "http://x", None), (None, "http://y", "a"), (None, "http://z", "a"), (7, None, "b"), (None, None, "b"), (7, None, "b"), (6, None, "b")]
+    index = warc.write_archives(spark.createDataFrame(some, "page_id long, url string, html string"))
+    rows = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(index).collect())
+    assert rows == Counter([(None, 0, "revisit", -1), (-1, 0, "response", None), (None, 1, "response", None), (None, 1, "response", None), (7, 1, "response", None), (7, 1, "response", None), (6, 1, "revisit", 7), (None, 1, "revisit", 7)])
+
+
+def test_warc_record_ids_are_unique_and_referred_to(spark, tmp_path):
+    import gzip
+
+    rows = [(i % 40, None, f"<p>{i % 13}</p>") for i in range(80)] + [(None, None, "<p>1</p>"), (90, "http://k", "<p>1</p>")] * 2 + [(91, None, "once"), (92, None, "once")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), root=f"file://{tmp_path}/w")
+    heads = [r.split("\r\n\r\n")[0] for f in (tmp_path / "w/archives").iterdir() for r in gzip.decompress(f.read_bytes()).decode().split("WARC/1.1\r\n")[1:]]
+    ids = [re.search("WARC-Record-ID: (.*)", h)[1].strip() for h in heads]
+    refers = [m[1].strip() for h in heads if (m := re.search("WARC-Refers-To: (.*)", h))]
+    assert len(ids) == len(set(ids)) == len(rows) and refers and set(refers) <= set(ids)
 
 
 def test_damaged_record_is_refused():
