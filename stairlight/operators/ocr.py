@@ -47,13 +47,13 @@ def findings(raw: DataFrame, confidence: float = 50, magnify: float = 4) -> Data
 
 
 def pool(found: DataFrame) -> DataFrame:
-    """Greedy by confidence (ties: earlier mode, then order): a box that overlaps a kept one goes. One group an image,
+    """Greedy by confidence (ties: earlier mode, then order, then place): a box that overlaps a kept one goes. One group an image,
     of at most some hundred boxes."""
     schema = "image_id string, mode int, ord int, word string, confidence double, x1 int, x2 int, y1 int, y2 int, x double, y double"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "mode", "ord"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["confidence", "mode", "ord", "x1", "y1", "x2", "y2"], ascending=[False] + [True] * 6, kind="stable").reset_index(drop=True)
         box, kept = pdf[["x1", "x2", "y1", "y2"]].to_numpy(), []
         for i, (x1, x2, y1, y2) in enumerate(box):
             own = box[kept]

@@ -7,60 +7,77 @@ ever exploded. Inputs are projected before a kernel, which is an optimiser barri
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import TABLES
 from . import kernels as K
 
 RASTER = ["image_id", "height", "width", "data"]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def _map(rasters: DataFrame, extra: list[str], run: Callable, schema: str) -> DataFrame:
-    """run(row, colour array) -> list of result rows, for every image."""
-    names = [c.split()[0].strip("`") for c in schema.split(", ")]
+def _named(codes: np.ndarray) -> pa.Array:
+    """Colour names of colour numbers; each distinct colour is named once."""
+    kinds, index = np.unique(codes, return_inverse=True)
+    return pa.DictionaryArray.from_arrays(pa.array(index.ravel(), pa.int32()), pa.array([K.name(int(k)) for k in kinds], pa.string())).cast(pa.string())
+
+
+def _points(row, colors: np.ndarray, where: np.ndarray) -> list:
+    """Columns image_id, x, y, color of the marked pixels."""
+    y, x = np.nonzero(where)
+    return [[row.image_id] * len(x), x + 1, y + 1, _named(colors[y, x])]
+
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples():
+def _map(rasters: DataFrame, extra: list[str], run: Callable, schema: str) -> DataFrame:
+    """run(row, colour array) -> result columns, for every image."""
+    fields = [c.split() for c in schema.split(", ")]
+    names, kinds = [f[0].strip("`") for f in fields], [_KINDS[f[1]] for f in fields]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                row = SimpleNamespace(**{n: part.column(k)[i].as_py() for k, n in enumerate(part.schema.names)})
                 found = run(row, K.to_colors(K.to_array(row.data, row.height, row.width)))
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names)
 
-    return rasters.select(*RASTER, *extra).mapInPandas(batches, schema)
+    return rasters.select(*RASTER, *extra).mapInArrow(batches, schema)
 
 
 def _to_raster(rasters: DataFrame, extra: list[str], change: Callable) -> DataFrame:
-    return _map(rasters, extra, lambda row, colors: [(row.image_id, *colors.shape, K.to_bytes(change(row, colors)))], TABLES["raster"])
+    return _map(rasters, extra, lambda row, colors: [[row.image_id], *([n] for n in colors.shape), [K.to_bytes(change(row, colors))]], TABLES["raster"])
 
 
 def pixels(rasters: DataFrame, foreground_only: bool = False) -> DataFrame:
     """The pixel relation; foreground_only leaves out the most frequent colour."""
-    def run(row, colors):
-        y, x = np.nonzero(colors != K.background(colors)) if foreground_only else np.nonzero(np.ones(colors.shape, bool))
-        return [(row.image_id, int(b) + 1, int(a) + 1, K.name(int(colors[a, b]))) for a, b in zip(y, x, strict=True)]
-
-    return _map(rasters, [], run, TABLES["pixel"])
+    return _map(rasters, [], lambda row, colors: _points(row, colors, colors != K.background(colors) if foreground_only else np.ones(colors.shape, bool)), TABLES["pixel"])
 
 
-def from_pixels(points: DataFrame, sizes: DataFrame, background: str) -> DataFrame:
-    """Rasters of given sizes (image_id, height, width) with the points painted."""
-    grouped = points.groupBy("image_id").agg(F.collect_list(F.struct("x", "y", "color")).alias("points"))
-    rows = sizes.join(grouped, "image_id", "left").withColumn("data", F.lit(b""))
+def from_pixels(points: DataFrame, sizes: DataFrame, background: str | None = None) -> DataFrame:
+    """Rasters of given sizes (image_id, height, width and, unless one is given for all, background) with the points
+    painted. Points outside are left out."""
+    grouped = points.groupBy("image_id").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"), F.collect_list("color").alias("codes"))
+    sizes = sizes if background is None else sizes.withColumn("background", F.lit(background))
+    rows = sizes.select("image_id", "height", "width", "background").join(grouped, "image_id", "left")
 
-    def batches(parts):
-        for pdf in parts:
-            out = []
-            for row in pdf.itertuples():
-                colors = np.full((row.height, row.width), K.parse(background))
-                for p in row.points if row.points is not None else ():
-                    colors[p["y"] - 1, p["x"] - 1] = K.parse(p["color"])
-                out.append((row.image_id, row.height, row.width, K.to_bytes(colors)))
-            yield pd.DataFrame(out, columns=RASTER)
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                image, height, width, ground = (part.column(c)[i].as_py() for c in range(4))
+                colors = np.full((height, width), K.parse(ground))
+                if part.column(4)[i].is_valid:
+                    x, y = (part.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5))
+                    code = part.column(6)[i].values.dictionary_encode()
+                    value = np.array([K.parse(c) for c in code.dictionary.to_pylist()])[code.indices.to_numpy(zero_copy_only=False)]
+                    inside = (x >= 1) & (x <= width) & (y >= 1) & (y <= height)
+                    colors[y[inside] - 1, x[inside] - 1] = value[inside]
+                yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([height], pa.int32()), pa.array([width], pa.int32()), pa.array([K.to_bytes(colors)], pa.binary())], RASTER)
 
-    return rows.select(*RASTER, "points").mapInPandas(batches, TABLES["raster"])
+    return rows.mapInArrow(batches, TABLES["raster"])
 
 
 def quantize(rasters: DataFrame, n_colors: int = 256) -> DataFrame:
@@ -136,8 +153,7 @@ def components(rasters: DataFrame) -> DataFrame:
     """image_id, x, y, color, component of all ink pixels."""
     def run(row, colors):
         labels = K.components(K.foreground(colors))
-        y, x = np.nonzero(labels)
-        return [(row.image_id, int(b) + 1, int(a) + 1, K.name(int(colors[a, b])), int(labels[a, b])) for a, b in zip(y, x, strict=True)]
+        return [*_points(row, colors, labels > 0), labels[labels > 0]]
 
     return _map(rasters, [], run, "image_id string, x int, y int, color string, component long")
 
@@ -146,7 +162,7 @@ def panels(rasters: DataFrame, bands: DataFrame) -> DataFrame:
     """The panel table from tick bands (image_id, y_axis_column, x_axis_row, band, median_height)."""
     def run(row, colors):
         p = K.panel(colors, int(row.y_axis_column), int(row.x_axis_row), int(row.band), float(row.median_height))
-        return [(row.image_id, *(p[c.split()[0]] for c in TABLES["panel"].split(", ")[1:]))]
+        return [[row.image_id], *([p[c.split()[0]]] for c in TABLES["panel"].split(", ")[1:])]
 
     return _map(rasters.join(bands, "image_id"), ["y_axis_column", "x_axis_row", "band", "median_height"], run, TABLES["panel"])
 
@@ -155,14 +171,14 @@ def paths(rasters: DataFrame) -> DataFrame:
     """The path table: traced pixels of every curve."""
     def run(row, colors):
         found, width = K.paths(colors)
-        rows = []
-        for color, own in found.items():
-            y, x = np.nonzero(own)
-            rows += [(row.image_id, int(b) + 1, int(a) + 1, K.name(color), width, colors.shape[1], colors.shape[0]) for a, b in zip(y, x, strict=True)]
-        return rows
+        parts = [(np.nonzero(own), color) for color, own in found.items()]
+        y, x = (np.concatenate([np.zeros(0, int), *(p[i] for p, _ in parts)]) for i in (0, 1))
+        codes = np.concatenate([np.zeros(0, int), *(np.full(len(p[0]), color) for p, color in parts)])
+        height, wide = colors.shape
+        return [[row.image_id] * len(x), x + 1, y + 1, _named(codes), *([v] * len(x) for v in (width, wide, height))]
 
     return _map(rasters, [], run, TABLES["path"])
 
 
 def line_widths(rasters: DataFrame) -> DataFrame:
-    return _map(rasters, [], lambda row, colors: [(row.image_id, K.line_width(colors, K.background(colors)))], "image_id string, line_width int")
+    return _map(rasters, [], lambda row, colors: [[row.image_id], [K.line_width(colors, K.background(colors))]], "image_id string, line_width int")

@@ -295,10 +295,13 @@ def color_nearest(spark, d):
     return colors.nearest(part_colors(spark, d), "color", named, "name").select("p_partkey", "name")
 
 
-@query(f"SELECT p_partkey, round(0.2126 * ({CH(0)}) + 0.7152 * ({CH(1)}) + 0.0722 * ({CH(2)}))::INT AS gray FROM part WHERE abs(0.2126 * ({CH(0)}) + 0.7152 * ({CH(1)}) + 0.0722 * ({CH(2)}) - floor(0.2126 * ({CH(0)}) + 0.7152 * ({CH(1)}) + 0.0722 * ({CH(2)})) - 0.5) > 1e-6")
+def _gray(r: str, g: str, b: str) -> str:
+    return f"round_even(0.2126::DOUBLE * ({r}) + 0.7152::DOUBLE * ({g}) + 0.0722::DOUBLE * ({b}), 0)::INT"
+
+
+@query(f"SELECT p_partkey, {_gray(CH(0), CH(1), CH(2))} AS gray FROM part")
 def color_luma(spark, d):
-    raw = 0.2126 * colors.channel(F.col("color"), 0) + 0.7152 * colors.channel(F.col("color"), 1) + 0.0722 * colors.channel(F.col("color"), 2)
-    return part_colors(spark, d).filter(F.abs(raw - F.floor(raw) - 0.5) > 1e-6).select("p_partkey", colors.luma(F.col("color")).alias("gray"))
+    return part_colors(spark, d).select("p_partkey", colors.luma(F.col("color")).alias("gray"))
 
 
 @query(f"SELECT p_partkey, (round_even((p_size / 50.0::DOUBLE) * ({CH(0)}) + (1 - p_size / 50.0::DOUBLE) * 255, 0))::INT AS red FROM part WHERE p_size <= 50")
@@ -370,8 +373,18 @@ def findings_of(spark: SparkSession, d: str) -> DataFrame:
     return l.select("image_id", (F.col("box") % 3).cast("int").alias("mode"), (F.col("box") % 1000003).cast("int").alias("ord"), (F.col("box") % 97).cast("string").alias("word"), (F.lit(40.0) + F.col("box") % 61).alias("confidence"), "x1", "x2", "y1", "y2", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
 
 
-@query()
+POOL = f"""WITH RECURSIVE {BOXES}, f AS (SELECT image_id, (box % 3)::INT AS mode, (box % 1000003)::INT AS ord, (box % 97)::VARCHAR AS word, (40.0::DOUBLE + box % 61) AS confidence, x1, x2, y1, y2, (x1 + x2) / 2.0::DOUBLE AS x, (y1 + y2) / 2.0::DOUBLE AS y FROM boxes),
+n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, mode, ord, x1, y1, x2, y2) AS k FROM f),
+hits AS (SELECT b.image_id, b.k, list(a.k) AS before FROM n a JOIN n b ON a.image_id = b.image_id AND a.k < b.k AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY ALL),
+go AS (SELECT n.image_id, 0::BIGINT AS k, []::BIGINT[] AS kept, max(n.k) AS last FROM n GROUP BY n.image_id
+  UNION ALL SELECT go.image_id, go.k + 1, CASE WHEN h.before IS NULL OR NOT list_has_any(h.before, go.kept) THEN list_append(go.kept, go.k + 1) ELSE go.kept END, go.last FROM go LEFT JOIN hits h ON h.image_id = go.image_id AND h.k = go.k + 1 WHERE go.k < go.last),
+fin AS (SELECT image_id, unnest(kept) AS k FROM go WHERE k = last)
+SELECT n.image_id, mode, ord, word, confidence, x1, x2, y1, y2, x, y FROM n JOIN fin ON n.image_id = fin.image_id AND n.k = fin.k"""
+
+
+@query(POOL)
 def pool_findings(spark, d):
+    """Greedy: a finding goes when a kept one before it overlaps it."""
     return ocr.pool(findings_of(spark, d))
 
 
@@ -496,32 +509,34 @@ def transpose_pixels(spark, d):
     return pixels.transpose(pixels.foreground(pixel_table(spark, d)).drop("color")).select("image_id", "x", "y")
 
 
-# components come from a kernel; what they are aggregated to is compared by treating each run as a component
+# components come from a kernel; in SQL each ink pixel passes its number on to its neighbours until none is new. Of the
+# images' three colours white is the most frequent one and the others are nearer to each other, so they are the ink.
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    points = pixels.foreground(pixel_table(spark, d))
-    r = pixels.runs(points).select("image_id", "x", "y1", "y2", ((F.col("x") - 1) * 50 + F.col("y1")).alias("component"))
-    return points.join(r, ["image_id", "x"]).filter("y between y1 and y2").select("image_id", "x", "y", "color", "component")
+    return raster.components(rasters_of(spark, d))
 
 
-LAB = RUNS + ", lab AS (SELECT fg.image_id, fg.x, fg.y, color, (fg.x - 1) * 50 + y1 AS component FROM fg JOIN runs ON fg.image_id = runs.image_id AND fg.x = runs.x AND fg.y BETWEEN y1 AND y2)"
+LAB = FG + """, ink AS (SELECT image_id, x, y, color, ((x - 1) * 50 + y)::BIGINT AS own FROM fg),
+nb AS (SELECT a.image_id, a.own AS u, b.own AS v FROM ink a JOIN ink b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+reach AS (SELECT image_id, own, own AS c FROM ink UNION SELECT r.image_id, nb.v, r.c FROM reach r JOIN nb ON nb.image_id = r.image_id AND nb.u = r.own AND r.c < nb.v),
+low AS (SELECT image_id, own, min(c) AS component FROM reach GROUP BY ALL), lab AS (SELECT ink.image_id, x, y, color, component FROM ink JOIN low ON ink.image_id = low.image_id AND ink.own = low.own)"""
 
 
-@query(f"WITH {LAB} SELECT image_id, component::INT AS component, count(*) AS pixels, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, (max(y) - min(y) + 1)::INT AS rows, (max(x) - min(x) + 1)::INT AS cols, round(sqrt(((max(y) - min(y) + 1) * (max(y) - min(y) + 1) + (max(x) - min(x) + 1) * (max(x) - min(x) + 1))::DOUBLE), 6) AS diagonal FROM lab GROUP BY ALL")
+@query(f"WITH RECURSIVE {LAB} SELECT image_id, component, count(*) AS pixels, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, (max(y) - min(y) + 1)::INT AS rows, (max(x) - min(x) + 1)::INT AS cols, round(sqrt(((max(y) - min(y) + 1) * (max(y) - min(y) + 1) + (max(x) - min(x) + 1) * (max(x) - min(x) + 1))::DOUBLE), 6) AS diagonal FROM lab GROUP BY ALL")
 def component_bbox(spark, d):
     return rounded(pixels.spans(labelled(spark, d)))
 
 
-@query(f"WITH {LAB}, s AS (SELECT image_id, component FROM lab GROUP BY ALL HAVING sqrt(((max(y) - min(y) + 1) * (max(y) - min(y) + 1) + (max(x) - min(x) + 1) * (max(x) - min(x) + 1))::DOUBLE) >= 4) SELECT lab.image_id, lab.component::INT AS component, x, y, color FROM lab JOIN s ON lab.image_id = s.image_id AND lab.component = s.component")
+@query(f"WITH RECURSIVE {LAB}, s AS (SELECT image_id, component FROM lab GROUP BY ALL HAVING sqrt(((max(y) - min(y) + 1) * (max(y) - min(y) + 1) + (max(x) - min(x) + 1) * (max(x) - min(x) + 1))::DOUBLE) >= 4) SELECT lab.image_id, lab.component, x, y, color FROM lab JOIN s ON lab.image_id = s.image_id AND lab.component = s.component")
 def span_filter(spark, d):
     return pixels.long_components(labelled(spark, d), F.lit(4.0))
 
 
-@query(f"WITH {LAB} SELECT image_id, component::INT AS component FROM lab GROUP BY ALL HAVING max(y) - min(y) + 1 >= 5 OR max(x) - min(x) + 1 >= 7")
+@query(f"WITH RECURSIVE {LAB} SELECT image_id, component FROM lab GROUP BY ALL HAVING max(y) - min(y) + 1 >= 5 OR max(x) - min(x) + 1 >= 7")
 def oversized_components(spark, d):
     return pixels.oversized(labelled(spark, d), F.lit(5), F.lit(7)).select("image_id", "component")
 
 
-@query(f"WITH {LAB}, per AS (SELECT image_id, color, component, count(*) AS n FROM lab GROUP BY ALL) SELECT image_id, color, component::INT AS component FROM (SELECT *, row_number() OVER (PARTITION BY image_id, color ORDER BY n DESC, component) AS k FROM per) WHERE k = 1")
+@query(f"WITH RECURSIVE {LAB}, per AS (SELECT image_id, color, component, count(*) AS n FROM lab GROUP BY ALL) SELECT image_id, color, component FROM (SELECT *, row_number() OVER (PARTITION BY image_id, color ORDER BY n DESC, component) AS k FROM per) WHERE k = 1")
 def owning_component(spark, d):
     return pixels.owning_component(labelled(spark, d))
 
@@ -601,25 +616,31 @@ def _axes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return make([(0.0, 5.0), (500.0, 115.0)], "x"), make([(0.0, 75.0), (100.0, 5.0)], "y")
 
 
-LAYERS = STEPS + """, px AS (SELECT image_id, series, ord, round_even(0.22::DOUBLE * x + 5, 0)::INT AS x, round_even(-0.7::DOUBLE * y + 75, 0)::INT AS y FROM steps),
+PAINT = """, px AS (SELECT image_id, series, ord, round_even(0.22::DOUBLE * x + 5, 0)::INT AS x, round_even(-0.7::DOUBLE * y + 75, 0)::INT AS y FROM steps),
 sg AS (SELECT image_id, series, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM px WINDOW w AS (PARTITION BY image_id, series ORDER BY ord)),
 bx AS (SELECT image_id, series, CASE WHEN y1 = y2 THEN greatest(1, least(x1, x2)) ELSE greatest(1, x1 - 1) END AS xa, CASE WHEN y1 = y2 THEN least(120, greatest(x1, x2)) ELSE least(120, x1 + 1) END AS xb,
   CASE WHEN y1 = y2 THEN greatest(1, y1 - 1) ELSE greatest(1, least(y1, y2)) END AS ya, CASE WHEN y1 = y2 THEN least(80, y1 + 1) ELSE least(80, greatest(y1, y2)) END AS yb FROM sg WHERE x2 IS NOT NULL),
 pp AS (SELECT DISTINCT image_id, series, i AS x, j AS y FROM bx JOIN (SELECT unnest(generate_series(1, 120)) AS i) ON i BETWEEN xa AND xb JOIN (SELECT unnest(generate_series(1, 80)) AS j) ON j BETWEEN ya AND yb),
 lay(layer, series, color) AS (VALUES (1, 'view', '#dc3030'), (2, 'click', '#3030a0'), (3, 'error', '#30a030'), (4, 'purchase', '#a0a030'), (5, 'signup', '#30a0a0'))"""
+SHOWN_PIXELS = " SELECT image_id, x::INT AS x, y::INT AS y, min_by(color, layer) AS color FROM pp JOIN lay ON pp.series = lay.series GROUP BY image_id, x, y"
+THIN = PAINT.replace("greatest(1, x1 - 1)", "greatest(1, x1)").replace("least(120, x1 + 1)", "least(120, x1)").replace("greatest(1, y1 - 1)", "greatest(1, y1)").replace("least(80, y1 + 1)", "least(80, y1)")
+MARKS = f"""mk AS (SELECT image_id, series, round_even(0.22::DOUBLE * time + 5, 0)::INT AS x, round_even(-0.7::DOUBLE * ({SHOWN('surv')}) + 75, 0)::INT AS y FROM km WHERE n_censor > 0),
+mp AS (SELECT DISTINCT image_id, series, x, j AS y FROM mk JOIN (SELECT unnest(generate_series(1, 80)) AS j) ON j BETWEEN greatest(1, y - 2) AND least(80, y + 2) WHERE x BETWEEN 1 AND 120)"""
+TRACE = KM + f""", tr AS (SELECT image_id, series, time AS x, surv AS s FROM km UNION ALL SELECT DISTINCT image_id, series, 0.0::DOUBLE, 1.0::DOUBLE FROM km),
+steps AS (SELECT image_id, series, row_number() OVER (PARTITION BY image_id, series ORDER BY x, s DESC) AS ord, x, {SHOWN('s')} AS y FROM tr)"""
 
 
-@query(f"WITH {LAYERS} SELECT image_id, x::INT AS x, y::INT AS y, min_by(color, layer) AS color FROM pp JOIN lay ON pp.series = lay.series GROUP BY image_id, x, y")
+@query(f"WITH {STEPS}{PAINT}{SHOWN_PIXELS}")
 def layer_survival(spark, d):
     return render.layer_survival(ipd(spark, d), how_of(spark, d), *_axes(spark, d), legend(spark, d).withColumn("layer", F.col("ord")))
 
 
-@query()
+@query(f"WITH {STEPS}{THIN}, {MARKS} SELECT image_id, x::INT AS x, y::INT AS y, min_by(color, layer) AS color FROM (SELECT * FROM pp UNION ALL SELECT * FROM mp) p JOIN lay ON p.series = lay.series GROUP BY image_id, x, y")
 def layer_censoring(spark, d):
     return render.layer_survival(ipd(spark, d), how_of(spark, d), *_axes(spark, d), legend(spark, d).withColumn("layer", F.col("ord")), censoring=True)
 
 
-@query()
+@query(f"WITH {TRACE}{PAINT}{SHOWN_PIXELS}")
 def layer_trace(spark, d):
     scaled = scaled_of(spark, d).join(how_of(spark, d).select("image_id", "max_y", "increasing"), "image_id")
     return render.layer_trace(scaled, how_of(spark, d), *_axes(spark, d), legend(spark, d).withColumn("layer", F.col("ord")))
@@ -634,28 +655,40 @@ def rasters_of(spark: SparkSession, d: str) -> DataFrame:
     return raster.from_pixels(p, p.select("image_id", F.lit(50).alias("height"), F.lit(64).alias("width")).distinct(), "#ffffff")
 
 
-@query(f"WITH {PIX}, f AS (SELECT i.image_id, x.x, y.y FROM (SELECT DISTINCT image_id FROM pix) i CROSS JOIN (SELECT unnest(generate_series(1, 64)) AS x) x CROSS JOIN (SELECT unnest(generate_series(1, 50)) AS y) y) SELECT f.image_id, f.x::INT AS x, f.y::INT AS y, coalesce(p.color, '#ffffff') AS color FROM f LEFT JOIN pix p ON f.image_id = p.image_id AND f.x = p.x AND f.y = p.y")
+FULL = PIX + """, grid AS (SELECT i.image_id, x.x, y.y FROM (SELECT DISTINCT image_id FROM pix) i CROSS JOIN (SELECT unnest(generate_series(1, 64)) AS x) x CROSS JOIN (SELECT unnest(generate_series(1, 50)) AS y) y),
+whole AS (SELECT g.image_id, g.x::INT AS x, g.y::INT AS y, coalesce(p.color, '#ffffff') AS color FROM grid g LEFT JOIN pix p ON g.image_id = p.image_id AND g.x = p.x AND g.y = p.y)"""
+
+
+@query(f"WITH {FULL} SELECT * FROM whole")
 def raster_round_trip(spark, d):
     return raster.pixels(rasters_of(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {LAB} SELECT * FROM lab")
 def raster_components(spark, d):
     return raster.components(rasters_of(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {LAB}, s AS (SELECT image_id, component FROM lab GROUP BY ALL HAVING sqrt(((max(y) - min(y) + 1) * (max(y) - min(y) + 1) + (max(x) - min(x) + 1) * (max(x) - min(x) + 1))::DOUBLE) >= 0.1::DOUBLE * sqrt((64 * 64 + 50 * 50)::DOUBLE)) SELECT lab.image_id, x, y, color FROM lab JOIN s ON lab.image_id = s.image_id AND lab.component = s.component")
 def raster_clean(spark, d):
     panel = pixel_table(spark, d).select("image_id", F.lit(1).alias("x1"), F.lit(64).alias("x2"), F.lit(1).alias("y1"), F.lit(50).alias("y2")).distinct()
     return raster.pixels(raster.clean(rasters_of(spark, d), panel, 0.1), foreground_only=True)
 
 
-@query()
+_MEAN = lambda i: f"lpad(lower(to_hex(round_even(sum(n * ('0x' || substr(color, {2 * i + 2}, 2))::INT)::DOUBLE / sum(n), 0)::INT)), 2, '0')"
+
+
+@query(f"""WITH {FULL}, n AS (SELECT image_id, color, count(*) AS n FROM whole GROUP BY ALL),
+m AS (SELECT image_id, '#' || {_MEAN(0)} || {_MEAN(1)} || {_MEAN(2)} AS mean FROM n WHERE color <> '#ffffff' GROUP BY image_id)
+SELECT w.image_id, x, y, CASE WHEN color = '#ffffff' THEN color ELSE mean END AS color FROM whole w LEFT JOIN m ON w.image_id = m.image_id""")
 def raster_quantize(spark, d):
     return raster.pixels(raster.quantize(rasters_of(spark, d), 2))
 
 
-@query()
+_LEVEL = lambda c: "lower(lpad(to_hex(" + _gray(*(f"('0x' || substr({c}, {i}, 2))::INT" for i in (2, 4, 6))) + "), 2, '0'))"
+
+
+@query(f"WITH {FULL} SELECT image_id, x, y, '#' || {_LEVEL('color')} || {_LEVEL('color')} || {_LEVEL('color')} AS color FROM whole")
 def raster_grayscale(spark, d):
     return raster.pixels(raster.grayscale(rasters_of(spark, d)))
 

@@ -107,6 +107,18 @@ def test_find_line_takes_the_mean_of_ties_and_all_points():
     assert K.find_line(mask, np.arange(6, 9)) is None
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_and_level_lines_against_upright_ones(seed):
+    mask = np.random.default_rng(seed).random((31, 31)) < 0.7
+    for axis in (0, 1):
+        expected = [max(map(len, "".join("x" if v else " " for v in line).split()), default=0) for line in (mask.T if axis == 0 else mask)]
+        assert K.longest_runs(mask, axis).tolist() == expected
+    # a row search is a column search of the image turned so that the lowest row is the first column
+    turned, found = mask[::-1].T, K.find_line(mask, np.arange(3, 29), level=True)
+    other = K.find_line(turned, np.arange(4, 30))
+    assert (found is None) == (other is None) and (found is None or (32 - found[0], *found[1:]) == other)
+
+
 def test_panel_of_an_l_axis_and_a_box():
     p = K.panel(l_axis(), 18, 83, 20, 4)
     assert (p["x1"], p["y2"], p["x2"], p["y1"]) == (20, 80, 90, 10)
@@ -169,7 +181,7 @@ def test_path_passes_under_another_curve():
     c[2, 7:20] = BLUE
     found, _ = K.paths(c)
     assert set(found) == {RED, BLUE} and np.nonzero(found[BLUE])[1].min() <= 7
-    with pytest.raises(ValueError, match="No Kaplan-Meier curves"):
+    with pytest.raises(ValueError, match="no curve"):
         K.paths(blank(5, 5))
 
 
@@ -228,6 +240,9 @@ def test_path_and_endpoint_relations(spark):
 
 
 def test_colours(spark):
+    assert colors.NAMED["green"] == (0, 255, 0) and colors.NAMED["gray50"] == colors.NAMED["grey50"] == (127, 127, 127) and colors.NAMED["red4"] == (140, 0, 0) and len(colors.NAMED) > 600
+    odd = spark.createDataFrame([("SteelBlue",), ("steelbluish",), ("#12",), (None,)], "c string").select(colors.rgb(F.col("c")).alias("a")).collect()
+    assert [r["a"] for r in odd] == ["#4682b4", None, None, None]
     df = spark.createDataFrame([("#DC3030",), ("red",), ("#dc303080",)], "c string")
     rows = df.select(colors.rgb(F.col("c")).alias("a"), colors.rgba(F.col("c")).alias("b"), colors.valid(F.col("c")).alias("v")).collect()
     assert [tuple(r) for r in rows] == [("#dc3030", "#dc3030ff", True), ("#ff0000", "#ff0000ff", False), ("#dc3030", "#dc303080", True)]
