@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..schemas import DataError
 from . import validate
 
 BOX = ["x", "y", "x1", "x2", "y1", "y2"]
@@ -27,21 +26,24 @@ def misaligned(axis: DataFrame, across: str) -> DataFrame:
 
 def calibrate(spec: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     """x_axis and y_axis of every image, two rows each, by value."""
-    out, ticks = [], {}
+    ticks, rules = {}, []
     for axis in ("x", "y"):
-        sizes = (F.size(f"{axis}_label") != 2) | (F.size(f"{axis}_value") != 2)
-        validate._fail_if(spec.filter(F.coalesce(sizes, F.lit(True))), "image_id", f"{axis}_label and {axis}_value must both have length exactly 2: {{}}")
-        zipped = spec.select("image_id", F.inline(F.arrays_zip(f"{axis}_label", f"{axis}_value")))
+        names, values = F.col(f"{axis}_label"), F.col(f"{axis}_value")
+        zipped = spec.select("image_id", F.inline(F.arrays_zip(names, values)))
         ticks[axis] = zipped.select("image_id", F.col(f"{axis}_label").alias("label"), F.col(f"{axis}_value").cast("double").alias("value"))
-        validate._fail_if(validate.unknown(ticks[axis], label, ["image_id", "label"]), "label", "Unknown labels not in OCR data: {}")
-    validate._fail_if(validate.shared(ticks["x"], ticks["y"], ["image_id", "label"]), "label", "x_label and y_label share labels: {}")
+        rules += [
+            (spec.filter(F.coalesce((F.size(names) != 2) | (F.size(values) != 2), F.lit(True))), "image_id", f"{axis}_label and {axis}_value must both have length exactly 2: {{}}"),
+            (ticks[axis].filter("label is null or value is null or isnan(value) or abs(value) = double('inf')"), "image_id", f"{axis}_label or {axis}_value has a missing entry: {{}}"),
+            (ticks[axis].groupBy("image_id").agg(F.count_distinct("label").alias("n"), F.count_distinct("value").alias("m")).filter("n < 2 or m < 2"), "image_id", f"the two ticks of the {axis}-axis are one label or one value: {{}}"),
+            (validate.unknown(ticks[axis], label, ["image_id", "label"]), "label", "Unknown labels not in OCR data: {}"),
+        ]
+    found = {axis: resolve(ticks[axis], label) for axis in ("x", "y")}
+    rules.append((validate.shared(ticks["x"], ticks["y"], ["image_id", "label"]), "label", "x_label and y_label share labels: {}"))
     for axis, across in (("x", "y"), ("y", "x")):
-        found = resolve(ticks[axis], label)
-        bad = misaligned(found, across).limit(1).collect()
-        if bad:
-            raise DataError(f"The two {axis}-axis calibration ticks ('{bad[0]['first']}' and '{bad[0]['second']}') do not appear to be aligned")
-        out.append(found)
-    return out[0], out[1]
+        bad = misaligned(found[axis], across).withColumn("pair", F.concat_ws(" and ", "first", "second"))
+        rules.append((bad, "pair", f"the boxes of the two {axis}-axis ticks are not aligned: {{}}"))
+    validate.check(rules)
+    return found["x"].orderBy("image_id", "value"), found["y"].orderBy("image_id", "value")
 
 
 def band(x_axis: DataFrame, y_axis: DataFrame, window: float = 4) -> DataFrame:

@@ -32,25 +32,29 @@ def risk_sets(data: DataFrame) -> DataFrame:
 
 def score_at_zero(data: DataFrame) -> DataFrame:
     """Events and expected events of each series when all hazards are equal: the score at zero is their difference."""
-    sets = risk_sets(data)
-    total = sets.groupBy("image_id", "time").agg(F.sum("n_risk").alias("n"), F.sum("n_event").alias("d"))
-    joined = sets.join(total, ["image_id", "time"])
-    return joined.groupBy(*KEY).agg(F.sum("n_event").alias("observed"), F.sum(F.col("d") * F.col("n_risk") / F.col("n")).alias("expected"))
+    own = Window.partitionBy("image_id", "time")
+    sets = risk_sets(data).withColumn("n", F.sum("n_risk").over(own)).withColumn("d", F.sum("n_event").over(own))
+    return sets.groupBy(*KEY).agg(F.sum("n_event").alias("observed"), F.sum(F.col("d") * F.col("n_risk") / F.col("n")).alias("expected"))
 
 
 def newton(at_risk: np.ndarray, events: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray, bool]:
     """Coefficients of the series after the first and their covariance; arrays are (times, series)."""
     k = at_risk.shape[1] - 1
-    d = events.sum(1)
-    times = np.repeat(np.arange(len(d)), d)
-    share = np.concatenate([np.arange(x) / x for x in d]) if len(d) else np.zeros(0)
+    # times with the same numbers at risk and of events have the same terms: each term once, with its weight
+    kinds, weight = np.unique(np.concatenate([at_risk, events], 1), axis=0, return_counts=True)
+    at, own = kinds[:, : k + 1], kinds[:, k + 1 :]
+    d = own.sum(1).astype(int)
+    row = np.repeat(np.arange(len(d)), d)
+    share = np.arange(len(row)) - np.repeat(np.cumsum(d) - d, d)
+    share, times = share / np.maximum(d[row], 1), weight[row][:, None]
     beta, information = np.zeros(k), np.eye(k)
     for _ in range(steps):
         risk = np.exp(np.concatenate([[0.0], np.clip(beta, -30, 30)]))
-        weight = (at_risk[times] - share[:, None] * events[times]) * risk
-        p = (weight / weight.sum(1, keepdims=True))[:, 1:]
-        score = events[:, 1:].sum(0) - p.sum(0)
-        information = np.diag(p.sum(0)) - p.T @ p
+        hazard = (at[row] - share[:, None] * own[row]) * risk
+        p = (hazard / hazard.sum(1, keepdims=True))[:, 1:]
+        expected = (p * times).sum(0)
+        score = events[:, 1:].sum(0) - expected
+        information = np.diag(expected) - (p * times).T @ p
         step = np.linalg.pinv(information) @ score
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max(initial=0) < 1e-10:

@@ -57,21 +57,19 @@ def pixels(rasters: DataFrame, foreground_only: bool = False) -> DataFrame:
     return _map(rasters, [], lambda row, colors: _points(row, colors, colors != K.background(colors) if foreground_only else np.ones(colors.shape, bool)), TABLES["pixel"])
 
 
-def from_pixels(points: DataFrame, sizes: DataFrame, background: str | None = None) -> DataFrame:
-    """Rasters of given sizes (image_id, height, width and, unless one is given for all, background) with the points
-    painted. Points outside are left out."""
+def _painted(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """rows: image_id, height, width, data (null: one colour) and background."""
     grouped = points.groupBy("image_id").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"), F.collect_list("color").alias("codes"))
-    sizes = sizes if background is None else sizes.withColumn("background", F.lit(background))
-    rows = sizes.select("image_id", "height", "width", "background").join(grouped, "image_id", "left")
+    rows = rows.select("image_id", "height", "width", "background", "data").join(grouped, "image_id", "left")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(part.num_rows):
-                image, height, width, ground = (part.column(c)[i].as_py() for c in range(4))
-                colors = np.full((height, width), K.parse(ground))
-                if part.column(4)[i].is_valid:
-                    x, y = (part.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5))
-                    code = part.column(6)[i].values.dictionary_encode()
+                image, height, width, ground, data = (part.column(c)[i].as_py() for c in range(5))
+                colors = np.full((height, width), K.parse(ground)) if data is None else K.to_colors(K.to_array(data, height, width))
+                if part.column(5)[i].is_valid:
+                    x, y = (part.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (5, 6))
+                    code = part.column(7)[i].values.dictionary_encode()
                     value = np.array([K.parse(c) for c in code.dictionary.to_pylist()])[code.indices.to_numpy(zero_copy_only=False)]
                     inside = (x >= 1) & (x <= width) & (y >= 1) & (y <= height)
                     colors[y[inside] - 1, x[inside] - 1] = value[inside]
@@ -80,6 +78,18 @@ def from_pixels(points: DataFrame, sizes: DataFrame, background: str | None = No
     return rows.mapInArrow(batches, TABLES["raster"])
 
 
+def from_pixels(points: DataFrame, sizes: DataFrame, background: str | None = None) -> DataFrame:
+    """Rasters of given sizes (image_id, height, width and, unless one is given for all, background) with the points
+    painted. Points outside are left out."""
+    sizes = sizes if background is None else sizes.withColumn("background", F.lit(background))
+    return _painted(sizes.withColumn("data", F.lit(None).cast("binary")), points)
+
+
+def paint(rasters: DataFrame, points: DataFrame) -> DataFrame:
+    """rasters with the points painted over them."""
+    return _painted(rasters.withColumn("background", F.lit("#ffffff")), points)
+
+
 def quantize(rasters: DataFrame, n_colors: int = 256) -> DataFrame:
     return _to_raster(rasters, [], lambda _, colors: K.quantize(colors, n_colors))
 

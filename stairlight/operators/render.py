@@ -19,17 +19,18 @@ def _shown(surv: Column, max_y: Column, increasing: Column) -> Column:
 def steps(data: DataFrame, how: DataFrame) -> DataFrame:
     """Vertices (image_id, series, ord, x, y) of each curve: from (0, 1) flat and down at every event time, to the
     last time. how: image_id, max_y, increasing."""
-    fitted = km.fit(data)
-    before = F.lag("surv", 1, 1.0).over(Window.partitionBy(*KEY).orderBy("time"))
-    jumps = fitted.filter("n_event > 0").withColumn("before", before)
-    two = F.posexplode(F.array(F.struct(F.col("time").alias("x"), F.col("before").alias("s")), F.struct(F.col("time").alias("x"), F.col("surv").alias("s"))))
-    inner = jumps.select(*KEY, "time", two.alias("part", "v")).select(*KEY, F.col("time").alias("at"), F.col("part").cast("int").alias("part"), F.col("v.x").alias("x"), F.col("v.s").alias("s"))
-    ends = fitted.groupBy(*KEY).agg(F.greatest(F.max("time"), F.lit(0.0)).alias("end"), F.min("surv").alias("s"))
-    first = ends.select(*KEY, F.lit(float("-inf")).alias("at"), F.lit(0).alias("part"), F.lit(0.0).alias("x"), F.lit(1.0).alias("s"))
-    last = ends.select(*KEY, F.lit(float("inf")).alias("at"), F.lit(0).alias("part"), F.col("end").alias("x"), "s")
-    rows = inner.unionByName(first).unionByName(last).withColumn("ord", F.row_number().over(Window.partitionBy(*KEY).orderBy("at", "part")))
+    own = Window.partitionBy(*KEY).orderBy("time")
+    fitted = km.fit(data).withColumn("before", F.lag("surv", 1, 1.0).over(own)).withColumn("first", F.row_number().over(own) == 1).withColumn("last", F.lead("time").over(own).isNull())
+    point = lambda x, s: F.struct(x.cast("double").alias("x"), s.cast("double").alias("s"))
+    falls = F.col("n_event") > 0
+    each = F.array_compact(F.array(
+        F.when(F.col("first"), point(F.lit(0.0), F.lit(1.0))), F.when(falls, point(F.col("time"), F.col("before"))), F.when(falls, point(F.col("time"), F.col("surv"))),
+        F.when(F.col("last"), point(F.greatest("time", F.lit(0.0)), F.col("surv"))),
+    ))
+    rows = fitted.select(*KEY, "time", F.posexplode(each).alias("part", "v"))
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy(*KEY).orderBy("time", "part")))
     rows = rows.join(how.select("image_id", "max_y", "increasing"), "image_id")
-    return rows.select(*KEY, "ord", "x", _shown(F.col("s"), F.col("max_y"), F.col("increasing")).alias("y"))
+    return rows.select(*KEY, "ord", F.col("v.x").alias("x"), _shown(F.col("v.s"), F.col("max_y"), F.col("increasing")).alias("y"))
 
 
 def censor_marks(data: DataFrame, how: DataFrame) -> DataFrame:
@@ -92,16 +93,56 @@ def layer_trace(scaled: DataFrame, how: DataFrame, x_axis: DataFrame, y_axis: Da
     return painted(fill(lines, half, F.col("width"), F.col("height")).select(*KEY, "x", "y"), legend)
 
 
-def ruler(panels: DataFrame, x_axis: DataFrame, y_axis: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pixels (image_id, x, y) of both axes and two ticks each; axes carry the tick's centroid x and y."""
+#: A face of 5 x 7 pixels; a row is a number, its highest bit (16) the leftmost pixel.
+GLYPHS = {
+    "0": (14, 17, 19, 21, 25, 17, 14), "1": (4, 12, 4, 4, 4, 4, 14), "2": (14, 17, 1, 2, 4, 8, 31), "3": (31, 2, 4, 2, 1, 17, 14),
+    "4": (2, 6, 10, 18, 31, 2, 2), "5": (31, 16, 30, 1, 1, 17, 14), "6": (6, 8, 16, 30, 17, 17, 14), "7": (31, 1, 2, 4, 8, 8, 8),
+    "8": (14, 17, 17, 14, 17, 17, 14), "9": (14, 17, 17, 15, 1, 2, 12), ".": (0, 0, 0, 0, 0, 12, 12), "-": (0, 0, 0, 31, 0, 0, 0),
+    "A": (14, 17, 17, 31, 17, 17, 17), "B": (30, 17, 17, 30, 17, 17, 30), "C": (14, 17, 16, 16, 16, 17, 14), "D": (30, 17, 17, 17, 17, 17, 30),
+    "E": (31, 16, 16, 30, 16, 16, 31), "F": (31, 16, 16, 30, 16, 16, 16), "G": (14, 17, 16, 23, 17, 17, 15), "H": (17, 17, 17, 31, 17, 17, 17),
+    "I": (14, 4, 4, 4, 4, 4, 14), "J": (7, 2, 2, 2, 2, 18, 12), "K": (17, 18, 20, 24, 20, 18, 17), "L": (16, 16, 16, 16, 16, 16, 31),
+    "M": (17, 27, 21, 21, 17, 17, 17), "N": (17, 17, 25, 21, 19, 17, 17), "O": (14, 17, 17, 17, 17, 17, 14), "P": (30, 17, 17, 30, 16, 16, 16),
+    "Q": (14, 17, 17, 17, 21, 18, 13), "R": (30, 17, 17, 30, 20, 18, 17), "S": (15, 16, 16, 14, 1, 1, 30), "T": (31, 4, 4, 4, 4, 4, 4),
+    "U": (17, 17, 17, 17, 17, 17, 14), "V": (17, 17, 17, 17, 17, 10, 4), "W": (17, 17, 17, 21, 21, 21, 10), "X": (17, 17, 10, 4, 10, 17, 17),
+    "Y": (17, 17, 17, 10, 4, 4, 4), "Z": (31, 1, 2, 4, 8, 16, 31),
+}
+#: Cells from one letter to the next, and rows.
+STEP, ROWS = 6, 7
+
+
+def text(words: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Pixels of words centred on (x, y), as large as fits into box_width and box_height, one pixel a cell at least. words:
+    image_id, word, x, y, box_width, box_height; letters without a glyph leave a gap."""
+    cells = F.length("word") * STEP - 1
+    size = F.greatest(F.lit(1), F.least(F.floor(F.col("box_height") / ROWS), F.floor(F.col("box_width") / cells))).cast("int")
+    rows = words.filter(F.length("word") > 0).withColumn("_size", size)
+    rows = rows.withColumn("_left", F.rint(F.col("x") - F.col("_size") * cells / 2).cast("int")).withColumn("_top", F.rint(F.col("y") - F.col("_size") * ROWS / 2).cast("int"))
+    rows = rows.select("image_id", *extra, "_size", "_left", "_top", F.posexplode(F.split(F.upper("word"), "")).alias("_place", "_letter"))
+    ink = [(g, r, c) for g, lines in GLYPHS.items() for r, bits in enumerate(lines) for c in range(5) if bits >> (4 - c) & 1]
+    found = rows.join(F.broadcast(words.sparkSession.createDataFrame(ink, "_letter string, _row int, _column int")), "_letter")  # a fixed table
+    over = F.sequence(F.lit(0), F.col("_size") - 1)
+    found = found.withColumn("_dx", F.explode(over)).withColumn("_dy", F.explode(over))
+    return found.select("image_id", *extra, (F.col("_left") + F.col("_size") * (F.col("_place") * STEP + F.col("_column")) + F.col("_dx")).cast("int").alias("x"), (F.col("_top") + F.col("_size") * F.col("_row") + F.col("_dy")).cast("int").alias("y"))
+
+
+def ruler(panels: DataFrame, x_axis: DataFrame, y_axis: DataFrame, sizes: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """Pixels (image_id, x, y) of both axes and their ticks; axes carry the tick's centroid x and y. With the label table,
+    also the ticks' words in their boxes."""
     length = (2 * F.greatest("pad_x1", F.abs("pad_y2"))).cast("int")
-    box = panels.join(sizes.select("image_id", "width", "height"), "image_id").withColumn("tick", length)
+    sizes = sizes.select("image_id", "width", "height")
+    box = panels.join(sizes, "image_id").withColumn("tick", length)
     line = lambda df, x1, y1, x2, y2: df.select("image_id", "width", "height", F.lit("").alias("series"), x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), x2.cast("int").alias("x2"), y2.cast("int").alias("y2"))
     parts = line(box, F.col("x1"), F.col("y2"), F.col("x2"), F.col("y2")).unionByName(line(box, F.col("x1"), F.col("y1"), F.col("x1"), F.col("y2")))
     at = lambda axis: box.join(axis.select("image_id", F.rint("x").alias("cx"), F.rint("y").alias("cy")), "image_id")
     parts = parts.unionByName(line(at(x_axis), F.col("cx"), F.col("y2"), F.col("cx"), F.col("y2") + F.col("tick")))
     parts = parts.unionByName(line(at(y_axis), F.col("x1") - F.col("tick"), F.col("cy"), F.col("x1"), F.col("cy")))
-    return fill(parts, F.lit(0), F.col("width"), F.col("height")).select("image_id", "x", "y").distinct()
+    out = fill(parts, F.lit(0), F.col("width"), F.col("height")).select("image_id", "x", "y")
+    if label is not None:
+        named = label.groupBy("image_id", "label").agg(F.min("word").alias("word"))
+        ticks = x_axis.select("image_id", "label", "x", "y", "x1", "x2", "y1", "y2").unionByName(y_axis.select("image_id", "label", "x", "y", "x1", "x2", "y1", "y2"))
+        words = ticks.join(named, ["image_id", "label"]).withColumn("box_width", F.col("x2") - F.col("x1") + 1).withColumn("box_height", F.col("y2") - F.col("y1") + 1)
+        out = out.unionByName(text(words).join(sizes, "image_id").filter("x between 1 and width and y between 1 and height").select("image_id", "x", "y"))
+    return out.distinct()
 
 
 def label_boxes(label: DataFrame) -> DataFrame:
@@ -114,3 +155,22 @@ def label_boxes(label: DataFrame) -> DataFrame:
     out = out.withColumn("badge_width", F.col("badge_height") * F.length("label") * 0.7 + 4)
     left = F.col("box_x1") - 2 - F.col("badge_width")
     return out.withColumn("badge_x1", F.when(left < 0, F.col("box_x2") + 2).otherwise(left)).withColumn("badge_x2", F.col("badge_x1") + F.col("badge_width"))
+
+
+def annotation(label: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pixels (image_id, x, y, color) of every finding's red frame and badge, the badge's letters in white."""
+    sizes = sizes.select("image_id", "width", "height")
+    boxes = label_boxes(label).join(sizes, "image_id").withColumn("thick", F.rint("border").cast("int"))
+    edge = {c: F.rint(f"box_{c}").cast("int") for c in ("x1", "x2", "y1", "y2")}
+    badge = [F.rint("badge_x1").cast("int"), F.rint("badge_x2").cast("int")]
+    half = [F.floor(F.col("thick") / 2).cast("int"), F.ceil(F.col("thick") / 2).cast("int") - 1]
+    rects = [(edge["x1"] - half[0], edge["x2"] + half[1], e - half[0], e + half[1]) for e in (edge["y1"], edge["y2"])]
+    rects += [(e - half[0], e + half[1], edge["y1"] - half[0], edge["y2"] + half[1]) for e in (edge["x1"], edge["x2"])]
+    rects.append((*badge, edge["y1"], edge["y2"]))
+    spans = F.explode(F.array(*[F.struct(*[v.alias(n) for n, v in zip(("xa", "xb", "ya", "yb"), r, strict=True)]) for r in rects]))
+    each = boxes.select("image_id", "width", "height", spans.alias("r"))
+    each = each.select("image_id", F.greatest(F.lit(1), "r.xa").alias("xa"), F.least("width", "r.xb").alias("xb"), F.greatest(F.lit(1), "r.ya").alias("ya"), F.least("height", "r.yb").alias("yb")).filter("xa <= xb and ya <= yb")
+    red = each.withColumn("x", F.explode(F.sequence("xa", "xb"))).withColumn("y", F.explode(F.sequence("ya", "yb"))).select("image_id", "x", "y", F.lit(1).alias("layer"), F.lit("#ff0000").alias("color"))
+    words = boxes.select("image_id", F.col("label").alias("word"), ((F.col("badge_x1") + F.col("badge_x2")) / 2).alias("x"), ((F.col("box_y1") + F.col("box_y2")) / 2).alias("y"), (F.col("badge_width") - 4).alias("box_width"), (F.col("badge_height") - 2).alias("box_height"))
+    white = text(words).join(sizes, "image_id").filter("x between 1 and width and y between 1 and height").select("image_id", "x", "y", F.lit(0).alias("layer"), F.lit("#ffffff").alias("color"))
+    return red.unionByName(white).groupBy("image_id", "x", "y").agg(F.min_by("color", "layer").alias("color"))

@@ -20,8 +20,7 @@ def calibration(points: DataFrame, keys: list[str], pixel: str = "pixel", value:
 
 
 def assert_calibrated(found: DataFrame) -> None:
-    validate._fail_if(found.filter("n < 2"), "image_id", "At least 2 calibration points are required: {}")
-    validate._fail_if(found.filter("slope is null"), "image_id", "All pixel coordinates are identical; cannot fit calibration: {}")
+    validate.check([(found.filter("n < 2"), "image_id", "an axis needs two calibration points or more: {}"), (found.filter("slope is null"), "image_id", "All pixel coordinates of an axis are identical: {}")])
 
 
 def direction(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +34,7 @@ def scale(path: DataFrame, x_axis: DataFrame, y_axis: DataFrame, legend: DataFra
     """The scaled table: an origin (0, 1) per series, then its pixels at x >= 0, survival on 0 to 1."""
     require(path, "data_path", ["image_id", "x", "y", "color"])
     require(legend, "legend", ["image_id", "series", "color"])
-    validate._fail_if(validate.unknown(path, legend, ["image_id", "color"]), "color", "Path contains colors not in legend: {}")
+    validate.check([(validate.unknown(path, legend, ["image_id", "color"]), "color", "the path has colours not in legend: {}")])
     fits = []
     for axis, pixel, short in ((x_axis, "x", "a"), (y_axis, "y", "b")):
         found = calibration(axis, ["image_id"], pixel)

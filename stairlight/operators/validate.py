@@ -9,11 +9,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..schemas import DataError, require
 
 
-def _fail_if(bad: DataFrame, column: str, message: str) -> None:
-    """One small aggregate per rule; at most 20 offenders are named."""
-    found = [str(r[0]) for r in bad.select(column).distinct().orderBy(column).limit(20).collect()]
+Rule = tuple[DataFrame, str, str]
+
+
+def check(rules: list[Rule]) -> None:
+    """Rules are (rows that break it, the column that names an offender, message). All are looked at in one job; the
+    first that is broken is raised, with at most 20 offenders."""
+    named = [bad.select(F.lit(i).alias("rule"), F.col(column).cast("string").alias("who")).distinct().orderBy("who").limit(20) for i, (bad, column, _) in enumerate(rules)]
+    every = named[0]
+    for more in named[1:]:
+        every = every.unionByName(more)
+    found = every.collect()
     if found:
-        raise DataError(message.format(", ".join(found)))
+        first = min(r["rule"] for r in found)
+        raise DataError(rules[first][2].format(", ".join(sorted(str(r["who"]) for r in found if r["rule"] == first))))
 
 
 def unknown(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,26 +54,32 @@ def excess_events(risk: DataFrame, events: DataFrame) -> DataFrame:
 def assert_survival(scaled: DataFrame, risk: DataFrame, events: DataFrame | None = None) -> None:
     require(scaled, "scaled", ["image_id", "series", "x", "y"])
     require(risk, "risk_table", ["image_id", "series", "x", "patients"])
-    _fail_if(risk.filter("patients < 0"), "series", "Patients at risk must not be negative: {}")
-    _fail_if(unknown(risk, scaled, ["image_id", "series"]), "series", "Risk table contains series not in trace: {}")
+    rules = [(risk.filter("patients is null or patients < 0"), "series", "Patients at risk must not be negative: {}"), (unknown(risk, scaled, ["image_id", "series"]), "series", "Risk table contains series not in trace: {}")]
     if events is not None:
         require(events, "events_table", ["image_id", "series", "events"])
-        _fail_if(events.filter("events is null or events < 0"), "series", "Total events must not be missing or negative: {}")
-        _fail_if(unknown(events, risk, ["image_id", "series"]), "series", "Total events reported for series with no risk table entries: {}")
-        _fail_if(excess_events(risk, events), "series", "Total events exceed the number of patients at risk at time 0: {}")
-    _fail_if(rising(risk), "series", "Numbers at risk must be non-increasing over time: {}")
+        rules += [
+            (events.filter("events is null or events < 0"), "series", "Total events must not be missing or negative: {}"),
+            (unknown(events, risk, ["image_id", "series"]), "series", "Total events reported for series with no risk table entries: {}"),
+            (excess_events(risk, events), "series", "Total events exceed the number of patients at risk at time 0: {}"),
+        ]
+    check([*rules, (rising(risk), "series", "Numbers at risk must be non-increasing over time: {}")])
 
 
 def risk_table(spec: DataFrame, legend: DataFrame) -> DataFrame:
-    """Risk entries of each image's spec in legend order, then by time."""
+    """Risk entries of each image's spec in legend order, then by time; repeated entries are an error."""
     lengths = [F.coalesce(F.size(c), F.lit(0)) for c in ("risk_patients", "risk_series", "risk_x")]
-    _fail_if(spec.filter((lengths[0] != lengths[1]) | (lengths[0] != lengths[2]) | (lengths[0] < 1)), "image_id", "risk_patients, risk_series and risk_x must have the same length, at least 1: {}")
     rows = spec.select("image_id", F.inline(F.arrays_zip("risk_patients", "risk_series", "risk_x")))
     rows = rows.select("image_id", F.col("risk_patients").cast("int").alias("patients"), F.col("risk_series").alias("series"), F.col("risk_x").cast("double").alias("x"))
-    _fail_if(rows.filter("series = ''"), "image_id", "risk_series must be non-empty for every entry: {}")
-    _fail_if(unknown(rows, legend, ["image_id", "series"]), "series", "Invalid series names: {}")
-    _fail_if(unknown(legend, rows, ["image_id", "series"]), "series", "Risk table must have entries for every series. Missing: {}")
-    return rows.join(legend.select("image_id", "series", "ord"), ["image_id", "series"]).select("image_id", "ord", "patients", "series", "x")
+    check([
+        (spec.filter((lengths[0] != lengths[1]) | (lengths[0] != lengths[2]) | (lengths[0] < 1)), "image_id", "the lists of risk_patients, risk_series and risk_x differ in length or are empty in: {}"),
+        (rows.filter("series is null or series = ''"), "image_id", "risk_series has an empty name in: {}"),
+        (unknown(rows, legend, ["image_id", "series"]), "series", "Invalid series names: {}"),
+        (unknown(legend, rows, ["image_id", "series"]), "series", "Risk table must have entries for every series. Missing: {}"),
+        (rows.filter("patients is null or patients < 0"), "series", "risk_patients has a missing or negative number for: {}"),
+        (rows.filter("x is null or isnan(x)"), "series", "risk_x has a missing time for: {}"),
+        (repeated(rows, ["image_id", "series", "x"]), "series", "risk entries repeat a time for: {}"),
+    ])
+    return rows.join(legend.select("image_id", "series", "ord"), ["image_id", "series"]).select("image_id", "ord", "patients", "series", "x").orderBy("image_id", "ord", "x")
 
 
 def events_table(spec: DataFrame, legend: DataFrame) -> DataFrame | None:
@@ -74,11 +89,13 @@ def events_table(spec: DataFrame, legend: DataFrame) -> DataFrame | None:
     given = spec.filter((total > 0) | (names > 0))
     if given.isEmpty():
         return None
-    _fail_if(given.filter((total == 0) | (names == 0)), "image_id", "events_total and events_series must be supplied together, or neither: {}")
-    _fail_if(given.filter(total != names), "image_id", "events_total and events_series must have the same length: {}")
     rows = given.select("image_id", F.inline(F.arrays_zip("events_total", "events_series")))
     rows = rows.select("image_id", F.col("events_series").alias("series"), F.col("events_total").cast("int").alias("events"))
-    _fail_if(rows.filter("series = ''"), "image_id", "events_series must be non-empty for every entry: {}")
-    _fail_if(unknown(rows, legend, ["image_id", "series"]), "series", "Invalid series names: {}")
-    _fail_if(repeated(rows, ["image_id", "series"]), "series", "Total events must have at most one entry per series, but these are repeated: {}")
-    return rows.join(legend.select("image_id", "series", "ord"), ["image_id", "series"]).select("image_id", "ord", "series", "events")
+    check([
+        (given.filter((total == 0) | (names == 0)), "image_id", "events_total and events_series must come together: {}"),
+        (given.filter(total != names), "image_id", "events_total and events_series differ in length in: {}"),
+        (rows.filter("series is null or series = ''"), "image_id", "events_series has an empty name in: {}"),
+        (unknown(rows, legend, ["image_id", "series"]), "series", "Invalid series names: {}"),
+        (repeated(rows, ["image_id", "series"]), "series", "Total events must have at most one entry per series, but these are repeated: {}"),
+    ])
+    return rows.join(legend.select("image_id", "series", "ord"), ["image_id", "series"]).select("image_id", "ord", "series", "events").orderBy("image_id", "ord")

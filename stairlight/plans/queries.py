@@ -646,6 +646,35 @@ def layer_trace(spark, d):
     return render.layer_trace(scaled, how_of(spark, d), *_axes(spark, d), legend(spark, d).withColumn("layer", F.col("ord")))
 
 
+FACE = ", ".join(f"('{g}', {r}, {c})" for g, lines in render.GLYPHS.items() for r, bits in enumerate(lines) for c in range(5) if bits >> (4 - c) & 1)
+
+
+@query(f"""WITH {TICKS}, face(letter, r, c) AS (VALUES {FACE}), i AS (SELECT generate_series AS i FROM generate_series(0, 200)), im AS (SELECT DISTINCT image_id FROM axis),
+lines AS (SELECT image_id, 10 + i AS x, 100 AS y FROM im, i WHERE i <= 120 UNION SELECT image_id, 10, 20 + i FROM im, i WHERE i <= 80
+  UNION SELECT image_id, round_even(x, 0)::BIGINT, 100 + i FROM axis, i WHERE i <= 8 UNION SELECT image_id, 2 + i, round_even(y, 0)::BIGINT FROM axis, i WHERE i <= 8),
+words AS (SELECT image_id, label AS word, x, y, greatest(1, least((y2 - y1 + 1) // 7, (x2 - x1 + 1) // (length(label) * 6 - 1))) AS size FROM axis),
+laid AS (SELECT image_id, round_even(x - size * (length(word) * 6 - 1) / 2.0::DOUBLE, 0)::BIGINT AS x0, round_even(y - size * 7 / 2.0::DOUBLE, 0)::BIGINT AS y0, size, i AS place, substr(word, (i + 1)::INT, 1) AS letter FROM words, i WHERE i < length(word)),
+ink AS (SELECT image_id, x0 + size * (place * 6 + c) + a.i AS x, y0 + size * r + b.i AS y FROM laid JOIN face ON laid.letter = face.letter JOIN i a ON a.i < size JOIN i b ON b.i < size)
+SELECT image_id, x::INT AS x, y::INT AS y FROM (SELECT * FROM lines UNION SELECT * FROM ink) p WHERE x BETWEEN 1 AND 140 AND y BETWEEN 1 AND 120""")
+def ruler_pixels(spark, d):
+    """Axes, ticks and words of a panel from (10, 20) to (130, 100) on 140 x 120."""
+    ticks, label = tick_tables(spark, d)
+    axis, named = calibrate.resolve(ticks, label), label.select("image_id", "label", F.col("label").alias("word"))
+    images = axis.select("image_id").distinct()
+    panel = images.select("image_id", *[F.lit(v).alias(c) for c, v in (("x1", 10), ("x2", 130), ("y1", 20), ("y2", 100), ("pad_x1", 4), ("pad_x2", -4), ("pad_y1", 4), ("pad_y2", -3))])
+    return render.ruler(panel, axis, axis, images.select("image_id", F.lit(140).alias("width"), F.lit(120).alias("height")), named)
+
+
+@query(f"""WITH {STEPS}{PAINT}, drawn AS ({SHOWN_PIXELS}), thin AS (SELECT * FROM ({f"WITH {STEPS}{THIN}, {MARKS} SELECT image_id, x::INT AS x, y::INT AS y, min_by(color, layer) AS color FROM (SELECT * FROM pp UNION ALL SELECT * FROM mp) p JOIN lay ON p.series = lay.series GROUP BY image_id, x, y"}))
+SELECT coalesce(a.image_id, b.image_id) AS image_id, coalesce(a.x, b.x) AS x, coalesce(a.y, b.y) AS y, coalesce(a.color, '#ffffff') AS color_before, coalesce(b.color, '#ffffff') AS color_after
+FROM drawn a FULL JOIN thin b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y WHERE coalesce(a.color, '#ffffff') <> coalesce(b.color, '#ffffff')""")
+def compare_pixels(spark, d):
+    """Where the drawing of the curves and that with censor marks differ, as rasters on white."""
+    sizes = how_of(spark, d).select("image_id", "height", "width")
+    one, two = (raster.pixels(raster.from_pixels(f(spark, d), sizes, "#ffffff")) for f in (layer_survival, layer_censoring))
+    return pixels.difference(one, two)
+
+
 # --- rasters (kernels) ----------------------------------------------------------------------------------------
 
 
@@ -712,21 +741,21 @@ def rendered_paths(spark, d):
 
 
 def figures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rasters with axes, labels and inputs for the patients' figures: two arms on a canvas of 240 x 160."""
+    """Rasters with axes, labels and inputs for the patients' figures: five arms on a canvas of 240 x 160."""
     named = ipd(spark, d).select("image_id").distinct()
     how = how_of(spark, d).withColumn("width", F.lit(240)).withColumn("height", F.lit(160)).withColumn("increasing", F.lit(False))
     make = lambda rows, c: named.crossJoin(F.broadcast(spark.createDataFrame(rows, f"value double, {c} double")))
-    axes = make([(0.0, 30.0), (400.0, 230.0)], "x"), make([(0.0, 140.0), (100.0, 10.0)], "y")
-    arms = legend(spark, d).filter("series in ('view', 'click')").withColumn("layer", F.col("ord"))
-    curves = render.layer_survival(ipd(spark, d).filter("series in ('view', 'click') and time <= 400"), how, *axes, arms)
+    axes = make([(0.0, 30.0), (600.0, 230.0)], "x"), make([(0.0, 140.0), (100.0, 10.0)], "y")
+    arms = legend(spark, d).filter("series <> 'none'").withColumn("layer", F.col("ord"))
+    curves = render.layer_survival(ipd(spark, d), how, *axes, arms)
     lines = spark.range(27, 236).select(F.col("id").cast("int").alias("x"), F.lit(143).alias("y")).unionByName(spark.range(5, 144).select(F.lit(27).alias("x"), F.col("id").cast("int").alias("y")))
     ink = named.crossJoin(F.broadcast(lines.withColumn("color", F.lit("#000000"))))
     image = raster.from_pixels(curves.filter("x > 29 and y < 141").unionByName(ink), how.select("image_id", "height", "width"), "#ffffff")
-    ticks = [("A", "0", 30.0, 148.0), ("B", "400", 230.0, 148.0), ("C", "0", 20.0, 140.0), ("D", "100", 20.0, 10.0)]
+    ticks = [("A", "0", 30.0, 148.0), ("B", "600", 230.0, 148.0), ("C", "0", 20.0, 140.0), ("D", "100", 20.0, 10.0)]
     label = named.crossJoin(F.broadcast(spark.createDataFrame([(n, w, 90.0, x, y, int(x) - 3, int(x) + 3, int(y) - 2, int(y) + 2) for n, w, x, y in ticks], "label string, word string, confidence double, x double, y double, x1 int, x2 int, y1 int, y2 int")))
-    at_risk = km.numbers_at_risk(ipd(spark, d).filter("series in ('view', 'click') and time <= 400"), [0.0, 100.0, 200.0])
+    at_risk = km.numbers_at_risk(ipd(spark, d), [0.0, 100.0, 200.0])
     lists = at_risk.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("series", "x", F.col("patients").cast("int").alias("patients")))).alias("r"))
-    inputs = specs.rows(spark, {"-": {"x_label": ["A", "B"], "x_value": [0.0, 400.0], "y_label": ["C", "D"], "y_value": [0.0, 100.0], "background": "#ffffff", "garbage": ["#000000"], "series": ["#dc3030", "#3030a0"], "series_names": ["view", "click"], "reference": "click"}}).drop("image_id", "risk_patients", "risk_series", "risk_x")
+    inputs = specs.rows(spark, {"-": {"x_label": ["A", "B"], "x_value": [0.0, 600.0], "y_label": ["C", "D"], "y_value": [0.0, 100.0], "background": "#ffffff", "garbage": ["#000000"], "series": ["#dc3030", "#3030a0", "#30a030", "#a0a030", "#30a0a0"], "series_names": ["view", "click", "error", "purchase", "signup"], "reference": "click"}}).drop("image_id", "risk_patients", "risk_series", "risk_x")
     inputs = lists.select("image_id", F.col("r.patients").alias("risk_patients"), F.col("r.series").alias("risk_series"), F.col("r.x").alias("risk_x")).crossJoin(F.broadcast(inputs))
     return image, label, inputs
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, functions as F
@@ -33,15 +32,20 @@ def write_csv(tables: dict[str, DataFrame | None], output: str, partitioned: boo
 
 
 def compare_pages(before: DataFrame, after: DataFrame, legend: DataFrame) -> DataFrame:
-    """image_id, name and html: a self-contained page per legend row with both images, named <series>_<color>."""
-    png = F.udf(lambda b: base64.b64encode(bytes(b)).decode(), "string")
-    a = encode(before).select("image_id", png("png").alias("a"))
-    b = encode(after).select("image_id", png("png").alias("b"))
-    rows = legend.join(a, "image_id").join(b, "image_id")
-    name = F.concat(text.slug(F.col("series")), F.lit("_"), text.slug(F.col("color")), F.lit(".html"))
-    image = lambda c: F.concat(F.lit('<img style="position:absolute" src="data:image/png;base64,'), F.col(c), F.lit('">'))
+    """image_id, name and html: a self-contained page per legend row (with color_name) with the source and the raster that has
+    this row in front, named <series>_<colour name>. after: image_id, front (the row's ord) and a raster."""
+    png = lambda df, to: encode(df).withColumn(to, F.base64("png"))
+    name = F.concat(text.slug(F.col("series")), F.lit("_"), text.slug(F.col("color_name")), F.lit(".html"))
+    rows = legend.select("image_id", F.col("ord").alias("front"), "series", name.alias("name")).join(png(before, "a").select("image_id", "a"), "image_id").join(after.select("image_id", "front", "b"), ["image_id", "front"])
+    image = lambda c: F.concat(F.lit('<img style="position:absolute" src="data:image/png;base64,'), F.replace(F.col(c), F.lit("\r\n"), F.lit("")), F.lit('">'))
     page = F.concat(F.lit("<!DOCTYPE html><html><body><h1>"), "series", F.lit("</h1><label>opacity <input type=range max=1 step=.01 oninput=\"document.querySelectorAll('img')[1].style.opacity=this.value\"></label><div style=\"position:relative\">"), image("a"), image("b"), F.lit("</div></body></html>"))
-    return rows.select("image_id", name.alias("name"), page.alias("html"))
+    return rows.select("image_id", "name", page.alias("html"))
+
+
+def remove(output: str, spark) -> None:
+    """Take away what an earlier export left in a folder that may be overwritten."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_checked(output))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_pages(pages: DataFrame, output: str) -> None:

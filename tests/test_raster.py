@@ -240,7 +240,7 @@ def test_path_and_endpoint_relations(spark):
 
 
 def test_colours(spark):
-    assert colors.NAMED["green"] == (0, 255, 0) and colors.NAMED["gray50"] == colors.NAMED["grey50"] == (127, 127, 127) and colors.NAMED["red4"] == (140, 0, 0) and len(colors.NAMED) > 600
+    assert colors.NAMED["green"] == (0, 255, 0) and colors.NAMED["gray50"] == colors.NAMED["grey50"] == (127, 127, 127) and colors.NAMED["red4"] == (139, 0, 0) and len(colors.NAMED) > 600
     odd = spark.createDataFrame([("SteelBlue",), ("steelbluish",), ("#12",), (None,)], "c string").select(colors.rgb(F.col("c")).alias("a")).collect()
     assert [r["a"] for r in odd] == ["#4682b4", None, None, None]
     df = spark.createDataFrame([("#DC3030",), ("red",), ("#dc303080",)], "c string")
@@ -312,7 +312,7 @@ def test_calibrate(spark):
     assert {(r["label"], r["value"], r["x"]) for r in x.collect()} == {("A", 0.0, 20.0), ("B", 12.0, 90.0)}
     b = calibrate.band(x, y).first()
     assert (b["y_axis_column"], b["x_axis_row"], b["median_height"], b["band"]) == (17, 84, 4.0, 16)
-    for bad, message in ((SPEC | {"x_label": ["A", "Z"]}, "Unknown labels not in OCR data: Z"), (SPEC | {"x_label": ["A", "C"]}, "share labels: C"), (SPEC | {"x_label": ["A"]}, "length exactly 2"), (SPEC | {"x_label": ["A", "E"]}, "aligned")):
+    for bad, message in ((SPEC | {"x_label": ["A", "Z"]}, "Unknown labels not in OCR data: Z"), (SPEC | {"x_label": ["A", "C"]}, "share labels: C"), (SPEC | {"x_label": ["A"]}, "length exactly 2"), (SPEC | {"x_label": ["A", "E"]}, "not aligned"), (SPEC | {"x_value": [1.0, 1.0]}, "one value"), (SPEC | {"x_label": ["A", "A"]}, "one label"), (SPEC | {"y_value": [0.0, float("nan")]}, "missing entry")):
         with pytest.raises(DataError, match=message):
             calibrate.calibrate(specs.rows(spark, {"a": bad}), label_table(spark, [*LABEL, ("E", "9", 50, 40)]))
 
@@ -343,14 +343,22 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.legend().first()["color_name"] is not None
     painted = to_colors(engine.rendered().first())
     assert painted.shape == (100, 100) and (painted == RED).sum() > 60
-    assert engine.compare().count() < 1500
+    assert painted[0, 0] == WHITE
+    difference = engine.compare()
+    assert {(r["x"], r["y"]) for r in pixels.difference(raster.pixels(engine.tables["source"]), raster.pixels(engine.impression())).collect()} == {(r["x"], r["y"]) for r in difference.collect()}
     assert (to_colors(engine.preview().first()) == BLACK).sum() > 100
+    for call, message in ((lambda: engine.compare(front=2), "front 2"), (lambda: engine.rendered("bones"), "what must be"), (lambda: engine.quantiles([1.5]), "probabilities"), (lambda: engine.quantiles([0.5], "odds"), "type"), (lambda: engine.probabilities([-1.0]), "times"), (lambda: engine.quantiles([0.5], confidence=1.0), "confidence"), (lambda: engine.quantize(as_raster(spark, a=figure())), "once"), (lambda: engine.distill(specs.rows(spark, {"a": SPEC})), "once"), (lambda: engine.hazard_ratios("nobody"), "reference")):
+        with pytest.raises(DataError, match=message):
+            call()
+    assert engine.data().count() == 100
+    marked = to_colors(engine.annotated().first())
+    assert (marked == 0xFF0000).sum() > 40 and marked.shape == (100, 100)
+    with pytest.raises(TimeoutError):
+        Engine(spark, f"file://{tmp_path}/late").reconstruct(as_raster(spark, a=figure()), specs.rows(spark, {"a": SPEC}), findings=label_table(spark), timeout=0.01)
     with pytest.raises(Exception, match="at least one other"):
         engine.hazard_ratios().collect()
     done = sinks.write_csv({"counts": engine.counts(), "events_table": None}, f"file://{tmp_path}/out/export")
     assert done == ["counts"] and spark.read.option("header", True).csv(f"file://{tmp_path}/out/export/data/counts").count() == 2
-    page = sinks.compare_pages(engine.tables["clean"], engine.rendered(), engine.legend(False)).first()
-    assert page["name"] == "arm_dc3030.html" and page["html"].count("data:image/png;base64,") == 2
     for bad in ("", "/", "file:///", "/tmp/../etc/x"):
         with pytest.raises(ValueError, match="refusing"):
             sinks.write_csv({}, bad)
@@ -368,6 +376,37 @@ def test_layers(spark):
     assert marked - points == {(19, y) for y in (9, 10, 12, 13)}
 
 
+def two_arms():
+    c = figure()
+    c[59:61, 20:70] = BLUE
+    return c
+
+
+def test_export_has_a_page_for_each_legend_row(spark, tmp_path):
+    two = SPEC | {"series": ["#dc3030", "#3030a0"], "series_names": ["Arm", "Other one"], "risk_patients": [100, 80, 50, 40], "risk_series": ["Arm", "Arm", "Other one", "Other one"], "risk_x": [0.0, 6.0, 0.0, 6.0], "background": "#FFFFFF"}
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    engine.reconstruct(as_raster(spark, a=two_arms()), specs.rows(spark, {"a": two}), findings=label_table(spark))
+    (tmp_path / "out" / "x").mkdir(parents=True)
+    (tmp_path / "out" / "x" / "old.txt").write_text("old")
+    assert "data" in engine.export(f"file://{tmp_path}/out/x")
+    pages = {r["name"]: r["value"] for r in spark.read.text(f"file://{tmp_path}/out/x/compare").collect()}
+    assert len(pages) == 2 and all(n.startswith(("arm_", "other_one_")) and h.count("data:image/png;base64,") == 2 for n, h in pages.items())
+    assert not (tmp_path / "out" / "x" / "old.txt").exists()
+    dark = specs.rows(spark, {"a": two | {"series": ["#dc3030", "#dc3030"]}})
+    with pytest.raises(DataError, match="unique"):
+        distill(as_raster(spark, a=two_arms()), label_table(spark), dark)
+
+
+def test_text_is_centred_and_fits_its_box(spark):
+    words = spark.createDataFrame([("a", "10", 50.0, 30.0, 22, 14), ("b", "I", 10.0, 10.0, 3, 3), ("c", "", 1.0, 1.0, 9, 9)], "image_id string, word string, x double, y double, box_width int, box_height int")
+    points = {}
+    for r in render.text(words).collect():
+        points.setdefault(r["image_id"], set()).add((r["x"], r["y"]))
+    xs, ys = ([p[k] for p in points["a"]] for k in (0, 1))
+    assert set(points) == {"a", "b"} and max(xs) - min(xs) < 22 and max(ys) - min(ys) + 1 == 14 and abs(sum(xs) / len(xs) - 50) < 4
+    assert len(points["b"]) == sum(bin(v).count("1") for v in render.GLYPHS["I"])
+
+
 def test_ruler(spark):
     panel = spark.createDataFrame([("a", 20, 30, 10, 40, 3, -3, 3, -3)], TABLES["panel"])
     axis = lambda x, y: spark.createDataFrame([("a", float(x), float(y))], "image_id string, x double, y double")
