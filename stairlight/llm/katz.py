@@ -1,15 +1,17 @@
 """Katz backoff language model over words, counted and evaluated in partitioned tables.
 
-Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, and one end a text; the model is of order two, with a start
-context. Seen n-grams have Good-Turing discounted relative counts (counts over 5 keep theirs); a context's freed
-mass goes to its unseen words in proportion to their one-word probability, with the weight that makes the whole sum
-to one exactly. One-word probabilities leave the freed mass to one unknown type.
+Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, and one end a text; the model is of any order from two, with
+start contexts. Seen n-grams have Good-Turing discounted relative counts (counts over 5 keep theirs); a context's freed
+mass goes to its unseen words in proportion to their probability in the next shorter context, with the weight that makes
+the whole sum to one exactly. One-word probabilities leave the freed mass to one unknown type.
 
 No table is gathered: documents are read in pieces; a piece's distinct words go to the partition of their hash, which
-counts them and answers the piece (a table by piece); with those counts attached, a piece's distinct word pairs go to
-the partition of their context, which has all that the context's discounts, weight and probabilities need, and which returns
-sums per document. Frequent contexts are dealt out by their second word, and only their few sums are shared (they
-are at most `4 * partitions` words). Counts of counts come from a first look at the same partitions.
+counts them and answers the piece (a table by piece). Then, order by order, a piece's distinct n-grams, each with the
+probability of its word in the shorter context, go to the partition of their context, which has all that the context's discounts,
+weight and probabilities need. It answers the piece with the n-grams' probabilities (a table by piece), which go along with the
+next order's n-grams; that is the recursion. The highest order returns sums per document. Frequent contexts are dealt out by their
+last word, and only their few sums are shared (they are at most `4 * partitions` contexts an order). Counts of counts come from a
+first look at the same partitions. N-grams and words are known by 64-bit hashes.
 
 Defined cases: a null text is empty and has its end token alone; without training rows every token is the unknown
 type, of probability one; repeated rows count and score each; a null id is kept; an empty table gives no rows; other
@@ -19,6 +21,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ from .warc import open_store
 CUT = 5  # counts above keep their relative frequency
 END, START = U64(0xE5D0000000000001), U64(0x57A27000000000B3)
 WORD_ROWS = "p int, piece long, hashes binary, counts binary"
+ANSWERS = "p int, piece long, body binary"
 PAIR_ROWS = "p int, piece long, kind int, body binary"
 
 
@@ -100,6 +104,59 @@ class Piece:
         self.order = np.argsort(self.home, kind="stable")
         self.edges = np.searchsorted(self.home[self.order], np.arange(parts + 1))
 
+    def contexts(self, order: int) -> np.ndarray:
+        """At each token, the hash of the order - 1 tokens before it; a text begins with START."""
+        words = self.kinds[self.index]
+        known = np.full(len(words), START)
+        for k in range(2, order + 1):
+            longer = np.full(len(words), START)
+            longer[1:] = words[:-1] if k == 2 else extended(known[:-1], words[:-1])
+            longer[self.first[:-1]] = START
+            known = longer
+        return known
+
+
+def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The context that a word makes with the context before it."""
+    return mix(context * U64(0x9E3779B97F4A7C15) + word)
+
+
+class Grams:
+    """A piece's distinct n-grams of one order, by context and word, and the partition each goes to."""
+
+    def __init__(self, piece: Piece, order: int, parts: int, heavy: np.ndarray):
+        self.contexts, context = np.unique(piece.contexts(order), return_inverse=True)
+        size = len(piece.kinds)
+        code = context.astype(np.int64) * size + piece.index
+        self.sorted = np.argsort(code, kind="stable")
+        code = code[self.sorted]
+        self.new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        self.times = np.diff(np.concatenate([self.new, [len(code)]]))
+        self.trained = np.add.reduceat(piece.train[self.sorted].astype(np.int64), self.new)
+        self.context, self.word = code[self.new] // size, code[self.new] % size
+        home = self.contexts[self.context]
+        home = np.where(np.isin(home, heavy), mix(home ^ piece.kinds[self.word]), home)
+        home = ((home >> U64(32)) % U64(parts)).astype(np.int64)
+        self.by = np.argsort(home, kind="stable")
+        self.edges = np.searchsorted(home[self.by], np.arange(parts + 1))
+
+    def of_tokens(self) -> np.ndarray:
+        """Each token's n-gram."""
+        out = np.empty(len(self.sorted), np.int64)
+        out[self.sorted] = np.repeat(np.arange(len(self.new)), self.times)
+        return out
+
+    def bodies(self, piece: Piece, lower: np.ndarray, last: bool) -> Iterator[tuple[int, bytes]]:
+        """For each partition: contexts and how many n-grams each has; of each n-gram the word, what `lower` says of it, its
+        training count and, at the last order, its occurrences and their documents."""
+        docs = piece.doc[self.sorted]
+        for p in range(len(self.edges) - 1):
+            own = self.by[self.edges[p] : self.edges[p + 1]]
+            if len(own):
+                begin = np.flatnonzero(np.concatenate([[True], self.context[own][1:] != self.context[own][:-1]]))
+                times = self.times[own].astype(np.uint32) if last else np.zeros(0, np.uint32)
+                yield p, _squeeze(self.contexts[self.context[own][begin]], np.diff(np.concatenate([begin, [len(own)]])).astype(np.uint32), piece.kinds[self.word[own]], lower[own], self.trained[own].astype(np.uint32), times, docs[ranges(self.new[own], self.times[own])].astype(np.uint32) if last else times)
+
 
 def pieces(batches: Iterator[pa.RecordBatch], parts: int, size: int) -> Iterator[tuple[int, pa.Array, Piece]]:
     """Every piece with its number, which depends on the input's splits only."""
@@ -128,59 +185,35 @@ def _stretch(body: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-PAIR_KINDS = [np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32]
-
-
-def pair_bodies(piece: Piece, counts: np.ndarray, parts: int, heavy: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each partition: contexts and how many pairs each has; of each pair the word, its count, the pair's training
-    count and occurrences; and the documents of the occurrences."""
-    size = len(piece.kinds)
-    context = np.concatenate([[size], piece.index[:-1]])
-    context[piece.first[:-1]] = size  # the start
-    code = context.astype(np.int64) * size + piece.index
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    times = np.diff(np.concatenate([new, [len(code)]]))
-    trained = np.add.reduceat(piece.train[order].astype(np.int64), new)
-    context, word = code[new] // size, code[new] % size
-    hashes = np.concatenate([piece.kinds, [START]])
-    home = hashes[context]
-    spread = np.isin(home, heavy)
-    home = np.where(spread, mix(home ^ piece.kinds[word]), home)
-    home = ((home >> U64(32)) % U64(parts)).astype(np.int64)
-    by = np.argsort(home, kind="stable")
-    edges = np.searchsorted(home[by], np.arange(parts + 1))
-    docs = piece.doc[order]
-    for p in range(parts):
-        own = by[edges[p] : edges[p + 1]]
-        if len(own):
-            begin = np.flatnonzero(np.concatenate([[True], context[own][1:] != context[own][:-1]]))
-            yield p, _squeeze(hashes[context[own][begin]], np.diff(np.concatenate([begin, [len(own)]])).astype(np.uint32), piece.kinds[word[own]], counts[word[own]].astype(np.uint32), trained[own].astype(np.uint32), times[own].astype(np.uint32), docs[ranges(new[own], times[own])].astype(np.uint32))
-
-
-class Pairs:
-    """All pairs of a partition, counted."""
-
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        found = [(piece, *_stretch(body, PAIR_KINDS)) for piece, body in rows]
+def body_kinds(order: int) -> list:
+    """Orders over two carry a probability; order two a word's count, which says the same in fewer bytes."""
+    return [np.uint64, np.uint32, np.uint64, np.uint32 if order == 2 else np.float64, np.uint32, np.uint32, np.uint32]
+
+
+class Table:
+    """All n-grams of one order of a partition, counted."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], order: int, unigrams: Unigrams):
+        found = [(piece, *_stretch(body, body_kinds(order))) for piece, body in rows]
         join = lambda i, kind: np.concatenate([np.zeros(0, kind), *(f[i] for f in found)])
         context = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(f[1], f[2]) for f in found)])
         word, trained, times = join(3, np.uint64), join(5, np.int64).astype(np.int64), join(6, np.int64).astype(np.int64)
+        self.pieces, self.sizes = [f[0] for f in found], [len(f[3]) for f in found]
         self.owner = np.concatenate([np.zeros(0, np.int64), *(f[0] + f[7].astype(np.int64) for f in found)])
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        new = np.ones(len(order), bool)
+        order_ = np.lexsort((word, context))
+        c, w = context[order_], word[order_]
+        new = np.ones(len(order_), bool)
         new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new) - 1
+        self.rank = np.empty(len(order_), np.int64)
+        self.rank[order_] = np.cumsum(new) - 1
         at = np.flatnonzero(new)
-        self.counts = np.add.reduceat(trained[order], at) if len(at) else np.zeros(0, np.int64)
-        self.word_counts = join(4, np.int64).astype(np.int64)[order][at]
-        self.occurrence = np.repeat(rank, times)
+        self.counts = np.add.reduceat(trained[order_], at) if len(at) else np.zeros(0, np.int64)
+        lower = join(4, np.int64 if order == 2 else np.float64)[order_][at]
+        self.lower = unigrams(lower.astype(np.int64)) if order == 2 else lower
+        self.occurrence = np.repeat(self.rank, times) if len(times) else times
         edge = np.ones(len(at), bool)
         edge[1:] = c[at][1:] != c[at][:-1]
-        self.contexts, self.of = c[at][edge], np.cumsum(edge) - 1
+        self.contexts, self.of, self.words = c[at][edge], np.cumsum(edge) - 1, w[at]
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, values, minlength=len(self.contexts))
@@ -188,17 +221,22 @@ class Pairs:
     def count_of_counts(self) -> np.ndarray:
         return np.bincount(self.counts[(self.counts > 0) & (self.counts <= CUT + 1)], minlength=CUT + 2)[1:]
 
-    def vectors(self, unigrams: Unigrams) -> np.ndarray:
-        """For each context: pairs of count 1 to CUT, those above, their counts in all, and the one-word mass of
-        its seen words."""
+    def frequent(self, least: int) -> np.ndarray:
+        """Contexts of the next order that are n-grams of this one with such a count."""
+        own = np.flatnonzero(self.counts >= max(least, 1))
+        return extended(self.contexts[self.of[own]], self.words[own])
+
+    def vectors(self) -> np.ndarray:
+        """For each context: n-grams of count 1 to CUT, those above, their counts in all, and the shorter context's mass
+        of its seen words."""
         seen = self.counts > 0
         columns = [self.sums((self.counts == r).astype(float)) for r in range(1, CUT + 1)]
         above = np.where(self.counts > CUT, self.counts, 0)
-        return np.stack([*columns, self.sums((above > 0).astype(float)), self.sums(above.astype(float)), self.sums(np.where(seen, unigrams(self.word_counts), 0.0))], 1)
+        return np.stack([*columns, self.sums((above > 0).astype(float)), self.sums(above.astype(float)), self.sums(np.where(seen, self.lower, 0.0))], 1)
 
-    def log_probabilities(self, unigrams: Unigrams, discounts: Discounts, shared: dict[int, np.ndarray]) -> np.ndarray:
-        """log10 P(word | context) of each pair."""
-        v = self.vectors(unigrams)
+    def log_probabilities(self, discounts: Discounts, shared: dict[int, np.ndarray]) -> np.ndarray:
+        """log10 P(word | context) of each n-gram."""
+        v = self.vectors()
         for i in np.flatnonzero(np.isin(self.contexts, np.array(list(shared), np.uint64))):
             v[i] = shared[int(self.contexts[i])]
         r = np.arange(1, CUT + 1)
@@ -209,7 +247,7 @@ class Pairs:
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = np.where(total > 0, (1 - kept / scale) / (1 - v[:, CUT + 2]), 1.0)
             seen = np.log10(discounts.kept(self.counts) / scale[self.of])
-            return np.where(self.counts > 0, seen, np.log10(weight[self.of] * unigrams(self.word_counts)))
+            return np.where(self.counts > 0, seen, np.log10(weight[self.of] * self.lower))
 
 
 def _word_rows(docs: DataFrame, parts: int, size: int) -> DataFrame:
@@ -233,7 +271,7 @@ def _answers(rows: DataFrame, parts: int) -> DataFrame:
         known, at, out = total[total > 0], 0, []
         for p, piece, hashes, _ in got:
             n = len(hashes) // 8
-            out.append((p, piece, total[index[at : at + n]].astype("<i8").tobytes(), None))
+            out.append((p, piece, zlib.crc32(hashes).to_bytes(4, "little") + total[index[at : at + n]].astype("<i8").tobytes(), None))
             at += n
         top = np.argsort(-total, kind="stable")[:64]
         stats = np.concatenate([[known.sum(), len(known)], np.bincount(known[known <= CUT + 1], minlength=CUT + 2)[1:]]).astype("<i8")
@@ -243,25 +281,44 @@ def _answers(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionById(parts, F.col("p")).mapInArrow(run, WORD_ROWS)
 
 
-def _read_answer(folder: str, number: int, piece: Piece) -> np.ndarray:
+def _read_answer(folder: str, number: int) -> dict[int, bytes]:
+    """What the partitions answered to a piece."""
     import pyarrow.parquet as pq
-
-    store, path = open_store(f"{folder}/piece={number}")
     from pyarrow import fs
 
+    store, path = open_store(f"{folder}/piece={number}")
     files = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
-    rows = {r["p"]: r["hashes"] for f in files for r in pq.read_table(store.open_input_file(f)).to_pylist()}
-    flat = np.concatenate([np.frombuffer(rows[p], "<i8") for p in range(len(piece.edges) - 1)])
-    if len(flat) != len(piece.kinds):
-        raise RuntimeError("documents are dealt into other pieces than before; write them to a table first")
-    out = np.empty(len(flat), np.int64)
-    out[piece.order] = flat
+    return {r["p"]: r["body"] for f in files for r in pq.read_table(store.open_input_file(f)).to_pylist()}
+
+
+def _counts(folder: str, number: int, piece: Piece) -> np.ndarray:
+    """The training counts of the piece's words."""
+    rows, out = _read_answer(folder, number), np.empty(len(piece.kinds), np.int64)
+    for p in range(len(piece.edges) - 1):
+        own = piece.order[piece.edges[p] : piece.edges[p + 1]]
+        if int.from_bytes(rows[p][:4], "little") != zlib.crc32(piece.kinds[own].tobytes()):
+            raise RuntimeError("documents are dealt into other pieces than before; write them to a table first")
+        out[own] = np.frombuffer(rows[p], "<i8", offset=4)
+    return out
+
+
+def _probabilities(folder: str, number: int, grams: Grams) -> np.ndarray:
+    rows = _read_answer(folder, number)
+    out = np.empty(len(grams.by))
+    out[grams.by] = np.concatenate([np.frombuffer(rows[p], "<f8") for p in range(len(grams.edges) - 1) if p in rows])
     return out
 
 
-def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 6 << 20, part_bytes: int = 6 << 20) -> DataFrame:
+def _by_piece(answers: DataFrame, folder: str) -> None:
+    answers.repartition(partitions(answers.sparkSession), "piece").write.option("compression", "zstd").partitionBy("piece").parquet(folder)
+
+
+def score(docs: DataFrame, train: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 6 << 20, part_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a SQL condition
-    that marks the rows to learn from. docs must be read from files, so that a second reading has the same splits."""
+    that marks the rows to learn from. docs must be read from files, so that a second reading has the same splits (it
+    is checked); another DataFrame is to be written to a table first."""
+    if order < 2:
+        raise ValueError("the order must be two or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"coalesce({train}, false)").alias("train"), F.col(text_col).cast("string").alias("text"))
@@ -273,51 +330,37 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
     stats = sum((np.frombuffer(bytes(r["hashes"]), "<i8") for r in totals), np.zeros(CUT + 3, np.int64))
     unigrams = Unigrams(int(stats[0]), int(stats[1]), stats[2:])
     frequent = np.concatenate([np.zeros((0, 2), np.uint64), *(np.frombuffer(bytes(r["counts"]), np.uint64).reshape(2, -1).T for r in totals)])
-    heavy = np.concatenate([[START], frequent[frequent[:, 1] * U64(4 * parts) >= U64(max(unigrams.tokens, 1)), 0]])
-    folder = scratch.path("by-piece")
-    answers.filter("piece is not null").select("p", "hashes", "piece").repartition(partitions(spark), "piece").write.option("compression", "zstd").partitionBy("piece").parquet(folder)
+    least = -(-max(unigrams.tokens, 1) // (4 * parts))
+    heavy = {2: np.concatenate([[START], frequent[frequent[:, 1] >= U64(least), 0]])}
+    folders = {1: scratch.path("by-piece-1")}
+    _by_piece(answers.filter("piece is not null").select("p", F.col("hashes").alias("body"), "piece"), folders[1])
     scratch.drop("answers")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, piece in pieces(batches, parts, piece_bytes):
-            counts = _read_answer(folder, number, piece)
-            token = counts[piece.index]
-            known = np.add.reduceat((token > 0).astype(np.int64), piece.first[:-1])
-            base = np.add.reduceat(unigrams.base(token), piece.first[:-1])
-            null = np.array(ids.is_null())
-            own = _squeeze(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null.astype(np.uint8), np.array([not t for t in piece.train[piece.first[:-1]]], np.uint8), np.diff(piece.first).astype(np.int64), known, base)
-            rows = [(number // (1 << 20) % parts, number, 1, own), *((p, number, 0, body) for p, body in pair_bodies(piece, counts, parts, heavy))]
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["p", "piece", "kind", "body"])
-
-    # an RDD, because two jobs read one shuffle of it: the first for counts of counts, the second to score
-    asked = docs.mapInArrow(ask, PAIR_ROWS).repartitionById(parts, F.col("p")).rdd
-
-    def look(rows: Iterator) -> Iterator[tuple]:
-        pairs = Pairs([(r["piece"], bytes(r["body"])) for r in rows if r["kind"] == 0])
-        shared = np.flatnonzero(np.isin(pairs.contexts, heavy))
-        vectors = pairs.vectors(unigrams)
-        yield pairs.count_of_counts().tolist(), [(int(pairs.contexts[i]), vectors[i].tolist()) for i in shared]
-
-    looks = asked.mapPartitions(look).collect()
-    discounts = Discounts(sum((np.array(n) for n, _ in looks), np.zeros(CUT + 1, np.int64)))
-    shared: dict[int, np.ndarray] = {}
-    for _, vectors in looks:
-        for context, v in vectors:
-            shared[context] = shared.get(context, 0) + np.array(v)
-
-    def answer(rows: Iterator) -> Iterator[tuple]:
-        rows = [(r["piece"], r["kind"], bytes(r["body"])) for r in rows]
-        pairs = Pairs([(piece, body) for piece, kind, body in rows if not kind])
-        logs = pairs.log_probabilities(unigrams, discounts, shared)
-        owners, index = np.unique(pairs.owner, return_inverse=True)
-        sums = np.bincount(index, logs[pairs.occurrence], len(owners))
-        number = owners >> 20 << 20
-        for piece, at, n in zip(*np.unique(number, return_index=True, return_counts=True), strict=True):
-            yield 0, int(piece), _squeeze(owners[at : at + n] - piece, sums[at : at + n])
-        for piece, kind, body in rows:
-            if kind:
-                yield 1, piece, body
+    def asking(level: int) -> DataFrame:
+        """Each piece's n-grams of this order for each partition (kind 0); at the last, a row of its documents (kind 1)."""
+        last = level == order
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, ids, piece in pieces(batches, parts, piece_bytes):
+                counts, grams = _counts(folders[1], number, piece), Grams(piece, level, parts, heavy[level])
+                occurs = grams.sorted[grams.new]  # a token of each n-gram
+                if level == 2:
+                    lower = counts[piece.index[occurs]].astype(np.uint32)
+                else:
+                    shorter = Grams(piece, level - 1, parts, heavy[level - 1])
+                    lower = _probabilities(folders[level - 1], number, shorter)[shorter.of_tokens()[occurs]]
+                rows = [(p, number, 0, body) for p, body in grams.bodies(piece, lower, last)]
+                if last:
+                    token = counts[piece.index]
+                    known = np.add.reduceat((token > 0).astype(np.int64), piece.first[:-1])
+                    base = np.add.reduceat(unigrams.base(token), piece.first[:-1])
+                    null = np.array(ids.is_null())
+                    own = _squeeze(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null.astype(np.uint8), np.array([not t for t in piece.train[piece.first[:-1]]], np.uint8), np.diff(piece.first).astype(np.int64), known, base)
+                    rows.append((number // (1 << 20) % parts, number, 1, own))
+                for row in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["p", "piece", "kind", "body"])
+
+        return docs.mapInArrow(ask, PAIR_ROWS)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         """A piece's documents with the sums of all partitions."""
@@ -331,7 +374,51 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
                 score[docs] += sums
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held.astype(bool), "n_tokens": tokens, "n_known": known, "base_score": base, "score": score}).assign(doc_id=lambda x: x["doc_id"].mask(null.astype(bool)))
 
+    for level in range(2, order + 1):
+        # an RDD, because two jobs read one shuffle of it: the first for counts of counts, the second for the answers
+        asked = asking(level).repartitionById(parts, F.col("p")).rdd
+
+        def look(rows: Iterator, level: int = level) -> Iterator[tuple]:
+            table = Table([(r["piece"], bytes(r["body"])) for r in rows if r["kind"] == 0], level, unigrams)
+            shared = np.flatnonzero(np.isin(table.contexts, heavy[level]))
+            vectors = table.vectors()
+            more = table.frequent(least) if level < order else np.zeros(0, U64)
+            yield table.count_of_counts().tolist(), [(int(table.contexts[i]), vectors[i].tolist()) for i in shared], more.tolist()
+
+        looks = asked.mapPartitions(look).collect()
+        discounts = Discounts(sum((np.array(n) for n, _, _ in looks), np.zeros(CUT + 1, np.int64)))
+        shared: dict[int, np.ndarray] = {}
+        for _, vectors, _ in looks:
+            for context, v in vectors:
+                shared[context] = shared.get(context, 0) + np.array(v)
+        heavy[level + 1] = np.array([int(START), *(c for _, _, more in looks for c in more)], np.uint64)
+
+        def answer(rows: Iterator, level: int = level, discounts: Discounts = discounts, shared: dict = shared) -> Iterator[tuple]:
+            rows = [(r["p"], r["piece"], r["kind"], bytes(r["body"])) for r in rows]
+            table = Table([(piece, body) for _, piece, kind, body in rows if not kind], level, unigrams)
+            logs = table.log_probabilities(discounts, shared)
+            if level < order:
+                values, at = 10 ** logs[table.rank], 0
+                for piece, n in zip(table.pieces, table.sizes, strict=True):
+                    yield int(rows[0][0]), int(piece), values[at : at + n].astype("<f8").tobytes()
+                    at += n
+                return
+            owners, index = np.unique(table.owner, return_inverse=True)
+            sums = np.bincount(index, logs[table.occurrence], len(owners))
+            number = owners >> 20 << 20
+            for piece, at, n in zip(*np.unique(number, return_index=True, return_counts=True), strict=True):
+                yield 0, int(piece), _squeeze(owners[at : at + n] - piece, sums[at : at + n])
+            for _, piece, kind, body in rows:
+                if kind:
+                    yield 1, piece, body
+
+        found = asked.mapPartitions(answer)
+        if level < order:
+            folders[level] = scratch.path(f"by-piece-{level}")
+            _by_piece(spark.createDataFrame(found, ANSWERS), folders[level])
+
     # a row a piece and partition; documents become rows only when their sums are whole
-    sums = spark.createDataFrame(asked.mapPartitions(answer), "kind int, piece long, body binary")
-    found = scratch.table(sums.groupBy("piece").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = spark.createDataFrame(found, "kind int, piece long, body binary")
+    scored = scratch.table(sums.groupBy("piece").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
+    scratch.drop(*(f"by-piece-{k}" for k in folders))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -31,7 +31,7 @@ def _remainder(n: int) -> Column:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(_read(spark, sf_dir, "documents"), train="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    return katz.score(_read(spark, sf_dir, "documents"), order=3, train="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

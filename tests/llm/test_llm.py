@@ -295,31 +295,62 @@ def test_decontamination_empty_tables(spark, empty, docs):
 # --- 4 language model -----------------------------------------------------------------------------------------
 
 
-def brute_katz(texts, train):
+def good_turing(counts):
+    """Discounted counts, written down from the formulas: Katz's factors, else Turing's over a fitted line, else half a
+    count less."""
+    of = Counter(counts.values())
+    n = [of[r] for r in range(1, 7)]
+    if all(n) and 6 * n[5] / n[0] < 1:
+        tail = 6 * n[5] / n[0]
+        factors = [((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail) for r in range(1, 6)]
+        if all(0 < f < 1 for f in factors):
+            return {g: c * factors[c - 1] if c <= 5 else c for g, c in counts.items()}
+    points = [(math.log(r), math.log(x)) for r, x in enumerate(n, 1) if x]
+    mean = [sum(p[k] for p in points) / max(len(points), 1) for k in (0, 1)]
+    slope = sum((x - mean[0]) * (y - mean[1]) for x, y in points) / sum((x - mean[0]) ** 2 for x, _ in points) if len(points) > 1 else 0.0
+    if slope >= -1:
+        return {g: max(c - 0.5, 0) for g, c in counts.items()}
+    return {g: c * (1 + 1 / c) ** (slope + 1) if c <= 5 else c for g, c in counts.items()}
+
+
+def brute_katz(texts, train, order):
     tokens = {i: [*words(fold(t)), None] for i, t in texts.items()}
-    uni = Counter(w for i in train for w in tokens[i])
-    bi = Counter(p for i in train for p in zip(["<s>", *tokens[i]], tokens[i]))
-    of = lambda c: np.array([Counter(c.values())[r] for r in range(1, katz.CUT + 2)])
-    du, db = katz.Discounts(of(uni)), katz.Discounts(of(bi))
-    kept = lambda d, c: float(d.kept(np.array([c]))[0])
-    n, unknown = sum(uni.values()), 1 - sum(kept(du, c) for c in uni.values()) / max(sum(uni.values()), 1)
-    one = lambda w: kept(du, uni[w]) / n if w in uni else unknown
-    rows, weight = defaultdict(list), {}
-    for (a, b), c in bi.items():
-        rows[a].append((b, c))
-    for a, own in rows.items():
-        total, free = sum(c for _, c in own), sum(kept(db, c) for _, c in own)
-        total = total if total - free > 1e-9 * max(total, 1) else total + 1
-        weight[a] = total, (1 - free / total) / (1 - sum(one(b) for b, _ in own))
-    p = lambda a, b: kept(db, bi[a, b]) / weight[a][0] if (a, b) in bi else (weight[a][1] if a in weight else 1) * one(b)
-    sums = [sum(p(a, b) for b in uni) + p(a, "never seen") for a in [*list(rows)[:20], "unknown context"]]
-    base = lambda w: math.log10((uni[w] + 0.5) / (n + 0.5 * (len(uni) + 1)))
-    return {i: (sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t)), sum(map(base, t)), len(t), sum(w in uni for w in t)) for i, t in tokens.items()}, n, sums
-
-
-def test_katz_against_brute_force(docs, texts):
-    got = {r["doc_id"]: r for r in katz.score(docs, "doc_id % 5 <> 1", piece_bytes=2000, part_bytes=3000).collect()}
-    expected, n, sums = brute_katz(texts, [i for i in texts if i % 5 != 1])
+    tables = {k: Counter((*(["<s>"] * (k - 1) + tokens[i])[at : at + k],) for i in train for at in range(len(tokens[i]))) for k in range(1, order + 1)}
+    kept = {k: good_turing(t) for k, t in tables.items()}
+    n = sum(tables[1].values())
+    unknown = 1 - sum(kept[1].values()) / n
+    followers = {k: defaultdict(list) for k in tables}
+    for k, t in tables.items():
+        for g in t:
+            followers[k][g[:-1]].append(g[-1])
+    weights = {}
+
+    def p(context, word):
+        k = len(context) + 1
+        if k == 1:
+            return kept[1][word,] / n if (word,) in kept[1] else unknown
+        own = followers[k].get(context)
+        if not own:
+            return p(context[1:], word)
+        if context not in weights:
+            total, free = sum(tables[k][(*context, w)] for w in own), sum(kept[k][(*context, w)] for w in own)
+            total = total if total - free > 1e-9 * max(total, 1) else total + 1
+            weights[context] = total, (1 - free / total) / (1 - sum(p(context[1:], w) for w in own))
+        total, weight = weights[context]
+        gram = (*context, word)
+        return kept[k][gram] / total if gram in tables[k] else weight * p(context[1:], word)
+
+    score = lambda t: sum(math.log10(p(tuple((["<s>"] * (order - 1) + t)[at : at + order - 1]), w)) for at, w in enumerate(t))
+    every = [w for (w,) in tables[1]]
+    sums = [sum(p(c, w) for w in every) + p(c, "never seen") for c in [*list(followers[order])[:15], ("unknown context",) * (order - 1)]]
+    base = lambda w: math.log10((tables[1][w,] + 0.5) / (n + 0.5 * (len(every) + 1)))
+    return {i: (score(t), sum(map(base, t)), len(t), sum((w,) in tables[1] for w in t)) for i, t in tokens.items()}, n, sums
+
+
+@pytest.mark.parametrize(("order", "part"), [(2, 3000), (3, 3000), (4, 20_000)])
+def test_katz_against_brute_force(docs, texts, order, part):
+    got = {r["doc_id"]: r for r in katz.score(docs, "doc_id % 5 <> 1", order, piece_bytes=2000, part_bytes=part).collect()}
+    expected, n, sums = brute_katz(texts, [i for i in texts if i % 5 != 1], order)
     assert sums == pytest.approx([1] * len(sums)) and set(got) == set(texts)
     for i, (score, base, tokens, known) in expected.items():
         r = got[i]
@@ -327,6 +358,15 @@ def test_katz_against_brute_force(docs, texts):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (tokens, known, n, i % 5 == 1)
 
 
+def test_katz_refuses_other_splits(spark, docs):
+    piece = katz.Piece(*common.text_buffers(pa.array(["a b", "c"])), np.ones(2, bool), 4)
+    folder = spark.conf.get("spark.checkpoint.dir") + "/katz-splits"
+    rows = [(p, 0, zlib.crc32(b"other").to_bytes(4, "little")) for p in range(4)]
+    katz._by_piece(spark.createDataFrame([(p, bytearray(b), n) for p, n, b in rows], "p int, body binary, piece long"), folder)
+    with pytest.raises(RuntimeError, match="other pieces"):
+        katz._counts(folder, 0, piece)
+
+
 def test_katz_defined_cases(empty, odd, docs):
     assert katz.score(empty, "true").count() == 0
     rows = katz.score(odd, "true").collect()
