@@ -1,6 +1,7 @@
 """Text findings: boxes of numbers in reading order, from any engine that gives words with boxes.
 
-An engine is a function (raster row -> list of (mode, word, confidence, "x1,y1,x2,y2")); none is built in.
+An engine is a function (image_id, enlarged RGB array, mode) -> list of (word, confidence, "x1,y1,x2,y2"). The one built
+in, `glyphs`, compares each blob of ink with the templates of render.GLYPHS; another one can be plugged in.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
 from ..schemas import TABLES
+from . import kernels
+from .render import GLYPHS, ROWS
 
 
 def reading_order(boxes: DataFrame, key: str = "image_id") -> DataFrame:
@@ -86,5 +89,62 @@ def detect(rasters: DataFrame, engine: Callable[[str, np.ndarray, int], list[tup
     return rasters.select("image_id", "height", "width", "data").mapInPandas(run, "image_id string, mode int, ord int, word string, confidence double, bbox string")
 
 
+def _templates() -> list[tuple[str, np.ndarray]]:
+    """Each digit's, point's and minus' ink, without the rows and columns that have none."""
+    out = []
+    for letter in "0123456789.-":
+        cells = np.array([[bits >> (4 - c) & 1 for c in range(5)] for bits in GLYPHS[letter]], bool)
+        out.append((letter, cells[np.ix_(cells.any(1), cells.any(0))]))
+    return out
+
+
+def _read(blob: np.ndarray, line: float) -> tuple[str, float]:
+    """The template most like a blob of ink, and how many cells agree (0 to 1). line: the height of the line's letters;
+    a template's share of it must be the blob's."""
+    best = ("", 0.0)
+    for letter, cells in _templates():
+        (h, w), (rows, columns) = blob.shape, cells.shape
+        cell = line / ROWS
+        if abs(h - rows * cell) > cell or abs(w - columns * cell) > 1.5 * cell:
+            continue
+        y, x = (((np.arange(n) + 0.5) * size / n).astype(int) for n, size in ((rows, h), (columns, w)))
+        agreement = float((blob[np.ix_(y, x)] == cells).mean())
+        if agreement > best[1]:
+            best = letter, agreement
+    return best
+
+
+def glyphs(image_id: str, rgb: np.ndarray, mode: int = 0) -> list[tuple[str, float, str]]:
+    """Words of digits: blobs side by side, on one line and less than a letter's width apart. The confidence is the mean share of
+    a template's cells that agree, in percent. Boxes are 0-based, both ends inside."""
+    ink = kernels.foreground(kernels.to_colors(rgb))
+    labels = kernels.components(kernels.dilate(ink, 1))  # strokes that touch at corners are one blob
+    labels[~ink] = 0
+    y, x = np.nonzero(labels)
+    kinds, index = np.unique(labels[y, x], return_inverse=True)
+    boxes = []
+    for k in range(len(kinds)):
+        own = index == k
+        boxes.append((int(x[own].min()), int(y[own].min()), int(x[own].max()) + 1, int(y[own].max()) + 1, int(kinds[k])))
+    boxes.sort()
+    words: list[list[tuple]] = []
+    for box in boxes:
+        for word in words:
+            top, bottom = min(b[1] for b in word), max(b[3] for b in word)
+            tall = max(bottom - top, box[3] - box[1])
+            if 0 <= box[0] - word[-1][2] < 0.6 * tall and min(bottom, box[3]) > max(top, box[1]):
+                word.append(box)
+                break
+        else:
+            words.append([box])
+    found = []
+    for word in words:
+        x1, y1, x2, y2 = word[0][0], min(b[1] for b in word), word[-1][2], max(b[3] for b in word)
+        read = [_read(labels[b[1] : b[3], b[0] : b[2]] == b[4], y2 - y1) for b in word]
+        if all(letter for letter, _ in read):
+            found.append(("".join(letter for letter, _ in read), 100 * float(np.mean([a for _, a in read])), f"{x1},{y1},{x2 - 1},{y2 - 1}"))
+    return found
+
+
 def empty(spark) -> DataFrame:
     return spark.createDataFrame([], TABLES["label"])

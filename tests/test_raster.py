@@ -275,6 +275,19 @@ def test_detect_with_an_engine(spark):
     assert [(r["label"], r["word"], r["x1"], r["x2"]) for r in out] == [("A", "6", 1, 5)]
 
 
+def test_built_in_engine_reads_drawn_numbers(spark):
+    words = [("12.5", 30.0, 12.0), ("0", 100.0, 12.0), ("300", 30.0, 40.0), ("47", 100.0, 40.0), ("6.98", 65.0, 62.0)]
+    rows = spark.createDataFrame([("a", w, x, y, 60, 14) for w, x, y in words], "image_id string, word string, x double, y double, box_width int, box_height int")
+    sizes = spark.createDataFrame([("a", 76, 140)], "image_id string, height int, width int")
+    image = raster.from_pixels(render.text(rows).withColumn("color", F.lit("#202020")), sizes, "#ffffff")
+    found = ocr.labels(ocr.detect(image, ocr.glyphs)).orderBy("label").collect()
+    assert [r["word"] for r in found] == [w for w, _, _ in words]
+    assert all(r["confidence"] == 100.0 and abs(r["x"] - x) <= 1.5 and abs(r["y"] - y) <= 1.5 for r, (_, x, y) in zip(found, words))
+    assert ocr.detect(as_raster(spark, a=blank(9, 9)), ocr.glyphs).count() == 0
+    lines = ocr.labels(ocr.detect(as_raster(spark, a=l_axis()), ocr.glyphs))
+    assert lines.count() == 0
+
+
 def test_overlaps_and_pool_against_brute_force(spark):
     rng = random.Random(3)
     boxes = [("a", i, x, x + rng.randint(1, 300), y, y + rng.randint(1, 300)) for i in range(60) for x, y in [(rng.randint(1, 900), rng.randint(1, 900))]]
