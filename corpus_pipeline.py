@@ -16,8 +16,9 @@ PASSAGE_WORDS = 50
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # columns named like the classifier's stay as they are
+    scored = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("predicted = 1").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
