@@ -745,22 +745,31 @@ def figures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     named = ipd(spark, d).select("image_id").distinct()
     how = how_of(spark, d).withColumn("width", F.lit(240)).withColumn("height", F.lit(160)).withColumn("increasing", F.lit(False))
     make = lambda rows, c: named.crossJoin(F.broadcast(spark.createDataFrame(rows, f"value double, {c} double")))
-    axes = make([(0.0, 30.0), (600.0, 230.0)], "x"), make([(0.0, 140.0), (100.0, 10.0)], "y")
+    axes = make([(0.0, 30.0), (640.0, 190.0)], "x"), make([(0.0, 140.0), (100.0, 12.0)], "y")
     arms = legend(spark, d).filter("series <> 'none'").withColumn("layer", F.col("ord"))
     curves = render.layer_survival(ipd(spark, d), how, *axes, arms)
     lines = spark.range(27, 236).select(F.col("id").cast("int").alias("x"), F.lit(143).alias("y")).unionByName(spark.range(5, 144).select(F.lit(27).alias("x"), F.col("id").cast("int").alias("y")))
     ink = named.crossJoin(F.broadcast(lines.withColumn("color", F.lit("#000000"))))
     image = raster.from_pixels(curves.filter("x > 29 and y < 141").unionByName(ink), how.select("image_id", "height", "width"), "#ffffff")
-    ticks = [("A", "0", 30.0, 148.0), ("B", "600", 230.0, 148.0), ("C", "0", 20.0, 140.0), ("D", "100", 20.0, 10.0)]
+    ticks = [("A", "0", 30.0, 148.0), ("B", "640", 190.0, 148.0), ("C", "0", 20.0, 140.0), ("D", "100", 20.0, 12.0)]
     label = named.crossJoin(F.broadcast(spark.createDataFrame([(n, w, 90.0, x, y, int(x) - 3, int(x) + 3, int(y) - 2, int(y) + 2) for n, w, x, y in ticks], "label string, word string, confidence double, x double, y double, x1 int, x2 int, y1 int, y2 int")))
     at_risk = km.numbers_at_risk(ipd(spark, d), [0.0, 100.0, 200.0])
     lists = at_risk.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("series", "x", F.col("patients").cast("int").alias("patients")))).alias("r"))
-    inputs = specs.rows(spark, {"-": {"x_label": ["A", "B"], "x_value": [0.0, 600.0], "y_label": ["C", "D"], "y_value": [0.0, 100.0], "background": "#ffffff", "garbage": ["#000000"], "series": ["#dc3030", "#3030a0", "#30a030", "#a0a030", "#30a0a0"], "series_names": ["view", "click", "error", "purchase", "signup"], "reference": "click"}}).drop("image_id", "risk_patients", "risk_series", "risk_x")
+    inputs = specs.rows(spark, {"-": {"x_label": ["A", "B"], "x_value": [0.0, 640.0], "y_label": ["C", "D"], "y_value": [0.0, 100.0], "background": "#ffffff", "garbage": ["#000000"], "series": ["#dc3030", "#3030a0", "#30a030", "#a0a030", "#30a0a0"], "series_names": ["view", "click", "error", "purchase", "signup"], "reference": "click"}}).drop("image_id", "risk_patients", "risk_series", "risk_x")
     inputs = lists.select("image_id", F.col("r.patients").alias("risk_patients"), F.col("r.series").alias("risk_series"), F.col("r.x").alias("risk_x")).crossJoin(F.broadcast(inputs))
     return image, label, inputs
 
 
-@query()
+def _canvas(sql: str) -> str:
+    """The layers' SQL for the figures' canvas and axes."""
+    for small, large in (("0.22::DOUBLE * x + 5", "0.25::DOUBLE * x + 30"), ("-0.7::DOUBLE * y + 75", "-1.28::DOUBLE * y + 140"), ("least(120", "least(240"), ("least(80", "least(160"), ("(1, 120)", "(1, 240)"), ("(1, 80)", "(1, 160)"), (SHOWN("s"), "100 * s")):
+        sql = sql.replace(small, large)
+    return sql
+
+
+# all that is drawn right of the y axis and above the x axis is kept: the curves begin in one point and are one component
+@query(_canvas(f"WITH {STEPS}{PAINT}") + f""", drawn AS ({SHOWN_PIXELS}), inside AS (SELECT image_id, color, count(*) AS n FROM drawn WHERE x > 29 AND y < 141 GROUP BY ALL)
+SELECT i.image_id, lay.layer::INT AS ord, lay.series, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT image_id FROM ipd) i CROSS JOIN lay LEFT JOIN inside ON inside.image_id = i.image_id AND inside.color = lay.color""")
 def distill_counts(spark, d):
     """Calibrate, panel, mask, classify, clean and count, on all figures."""
     from .reconstruct import distill
