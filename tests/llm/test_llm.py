@@ -872,12 +872,52 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 
 
 def test_pipeline_on_odd_rows(spark, odd, empty):
-    for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES[1:4]:
-            assert stage(spark, docs, SF).columns == docs.columns
+    more = lambda df: df.withColumn("score", F.lit("own")).withColumn("predicted", F.lit(7)).withColumn("_ranges", F.lit(1)).withColumn("kept", F.lit("k")).withColumn("c0", F.lit(2.5))
+    for docs in (more(odd), more(empty)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, SF)
+            assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert all((r["score"], r["predicted"], r["_ranges"], r["kept"], r["c0"]) == ("own", 7, 1, "k", 2.5) for r in out.collect())
+        packed = corpus_pipeline.pack_tokens(spark, docs, SF)
+        assert packed.count() == docs.count()
     assert corpus_pipeline.drop_near_duplicates(spark, odd, SF).count() == 5  # null ids stay, repeated rows of an id too
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole run on planted documents: each stage's decision is known beforehand."""
+    rng = random.Random(17)
+    source = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    model = quality.train(spark.createDataFrame(list(source.values()), SCHEMA), spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    item = " ".join(f"quiz{rng.choice(WORDS)}{k}" for k in range(30))
+    passage = " ".join(f"pass{rng.choice(WORDS)}{k}" for k in range(60))
+    good = [r["text"] for i, r in sorted(source.items()) if labels.get(i) == 1 and r["text"] and len(r["text"]) > 200][:12]
+    rows = [(i, f"{t} unique{i} words{i * 7} here{i * 13}" + (f" {passage}" if i in (5, 6) else "") + (f" {item}" if i == 8 else "")) for i, t in enumerate(good)]
+    rows += [(20, rows[2][1]), (21, rows[3][1] + " more"), (22, None)]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1 if i % 2 else 0, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {i: t for i, t in rows}
+    # 1: what the classifier, fitted on the given labels, accepts
+    own = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    data, offsets = common.text_buffers(pa.array([texts[i] for i, _ in rows]))
+    kept = {i: texts[i] for (i, _), z in zip(rows, own.logits(data, offsets)) if 1 / (1 + math.exp(-z)) >= 0.7}
+    assert kept and len(kept) < len(rows) and model.scores.any()
+    # 2: the smallest id of each component; 3: windows of 50 words that start earlier; 4: texts without an item
+    kept = {i: t for i, t in kept.items() if brute_near(kept, 5)[i][1] == i}
+    kept = {i: " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else kept[i] for i, (w, gone) in brute_dedup(kept, 50).items()}
+    symbols = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", fold(t))
+    kept = {i: t for i, t in kept.items() if decontamination.edit_distance(np.array([hash(w) for w in symbols(item)]), np.array([hash(w) for w in symbols(t)], int))[0] > 6}
+    _, tok = tokenizer()
+    expected = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in kept.items()}
+    got = corpus_pipeline.run(spark, folder).toPandas()
+    assert set(got["doc_id"]) == set(expected)
+    for i, part in got.sort_values("start").groupby("doc_id"):
+        assert np.frombuffer(b"".join(part["ids"]), "<u4").tolist() == expected[i]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries_run(spark, name):
     table = "pages" if name.startswith("op10") else "documents"
