@@ -91,12 +91,25 @@ def test_pieces_cover_all_documents():
     assert list(common.pieces_of(np.array([0]))) == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components(spark, small):
     edges = [(1, 2), (2, 3), (7, 6), (6, 9), (9, 9), (4, 3), (20, 21), (21, 22), (22, 23), (23, 24), (30, 20)]
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r["vertex"]: r["component"] for r in components.components(df, common.Scratch(spark, "t"), "c").collect()}
+    got = {r["vertex"]: r["component"] for r in components.components(df, common.Scratch(spark, "t"), "c", small).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 7: 6, 9: 6, 21: 20, 22: 20, 23: 20, 24: 20, 30: 20}
-    assert components.components(df.filter("false"), common.Scratch(spark, "t"), "c").count() == 0
+    assert components.components(df.filter("false"), common.Scratch(spark, "t"), "c", small).count() == 0
+
+
+def test_components_of_random_graphs():
+    rng = np.random.default_rng(1)
+    for n in (3, 40, 400):
+        u, v = rng.integers(-n, n, n), rng.integers(-n, n, n)
+        at = {int(x): int(x) for x in [*u, *v]}
+        for a, b in zip(u.tolist(), v.tolist()):
+            one, two = sorted((at[a], at[b]))
+            at = {k: one if x == two else x for k, x in at.items()}
+        vertex, component = components.labelled(u, v)
+        assert dict(zip(vertex.tolist(), component.tolist())) == at
 
 
 # --- 1 packing ------------------------------------------------------------------------------------------------
