@@ -11,7 +11,8 @@ probability of its word in the shorter context, go to the partition of their con
 weight and probabilities need. It answers the piece with the n-grams' probabilities (a table by piece), which go along with the
 next order's n-grams; that is the recursion. The highest order returns sums per document. Frequent contexts are dealt out by their
 last word, and only their few sums are shared (they are at most `4 * partitions` contexts an order). Counts of counts come from a
-first look at the same partitions. N-grams and words are known by 64-bit hashes.
+first look at the same partitions. N-grams and words are known by 64-bit hashes. fit() stores every order's counted n-grams by
+partition; score_with() sends other documents' n-grams to the partitions that hold them; score() does both at once.
 
 Defined cases: a null text is empty and has its end token alone; without training rows every token is the unknown
 type, of probability one; repeated rows count and score each; a null id is kept; an empty table gives no rows; other
@@ -37,6 +38,8 @@ CUT = 5  # counts above keep their relative frequency
 END, START = U64(0xE5D0000000000001), U64(0x57A27000000000B3)
 WORD_ROWS = "p int, piece long, hashes binary, counts binary"
 ANSWERS = "p int, piece long, body binary"
+#: The piece number of a stored model's rows.
+MODEL = -1
 PAIR_ROWS = "p int, piece long, kind int, body binary"
 
 
@@ -191,9 +194,9 @@ def body_kinds(order: int) -> list:
 
 
 class Table:
-    """All n-grams of one order of a partition, counted."""
+    """All n-grams of one order of a partition, counted. Rows of piece MODEL come from a stored model."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], order: int, unigrams: Unigrams):
+    def __init__(self, rows: list[tuple[int, bytes]], order: int, unigrams: Unigrams, last: bool):
         found = [(piece, *_stretch(body, body_kinds(order))) for piece, body in rows]
         join = lambda i, kind: np.concatenate([np.zeros(0, kind), *(f[i] for f in found)])
         context = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(f[1], f[2]) for f in found)])
@@ -209,12 +212,19 @@ class Table:
         at = np.flatnonzero(new)
         self.counts = np.add.reduceat(trained[order_], at) if len(at) else np.zeros(0, np.int64)
         lower = join(4, np.int64 if order == 2 else np.float64)[order_][at]
-        self.lower = unigrams(lower.astype(np.int64)) if order == 2 else lower
-        self.occurrence = np.repeat(self.rank, times) if len(times) else times
+        self.given, self.lower = lower, unigrams(lower.astype(np.int64)) if order == 2 else lower
+        self.occurrence = np.repeat(self.rank, times) if last else None
         edge = np.ones(len(at), bool)
         edge[1:] = c[at][1:] != c[at][:-1]
         self.contexts, self.of, self.words = c[at][edge], np.cumsum(edge) - 1, w[at]
 
+    def stored(self, order: int) -> bytes:
+        """The n-grams seen in training, as a body that a later run reads beside its documents' own."""
+        own = np.flatnonzero(self.counts > 0)
+        context, sizes = np.unique(self.of[own], return_counts=True)
+        lower = self.given[own].astype(np.uint32 if order == 2 else np.float64)
+        return _squeeze(self.contexts[context], sizes.astype(np.uint32), self.words[own], lower, self.counts[own].astype(np.uint32), np.zeros(len(own), np.uint32), np.zeros(0, np.uint32))
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, values, minlength=len(self.contexts))
 
@@ -259,9 +269,9 @@ def _word_rows(docs: DataFrame, parts: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, WORD_ROWS)
 
 
-def _answers(rows: DataFrame, parts: int) -> DataFrame:
+def _answers(rows: DataFrame, parts: int, keep: bool) -> DataFrame:
     """For each piece and partition the words' counts over all pieces; and a row of totals a partition (piece null):
-    tokens, types, counts of counts, and the most frequent words with their counts."""
+    tokens, types, counts of counts, and the most frequent words with their counts. keep: also the words seen (MODEL)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
         if not got:
@@ -271,11 +281,14 @@ def _answers(rows: DataFrame, parts: int) -> DataFrame:
         known, at, out = total[total > 0], 0, []
         for p, piece, hashes, _ in got:
             n = len(hashes) // 8
-            out.append((p, piece, zlib.crc32(hashes).to_bytes(4, "little") + total[index[at : at + n]].astype("<i8").tobytes(), None))
+            if piece != MODEL:
+                out.append((p, piece, zlib.crc32(hashes).to_bytes(4, "little") + total[index[at : at + n]].astype("<i8").tobytes(), None))
             at += n
         top = np.argsort(-total, kind="stable")[:64]
         stats = np.concatenate([[known.sum(), len(known)], np.bincount(known[known <= CUT + 1], minlength=CUT + 2)[1:]]).astype("<i8")
         out.append((got[0][0], None, stats.tobytes(), kinds[top].tobytes() + total[top].astype("<i8").tobytes()))
+        if keep:
+            out.append((got[0][0], MODEL, kinds[total > 0].tobytes(), known.astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["p", "piece", "hashes", "counts"])
 
     return rows.repartitionById(parts, F.col("p")).mapInArrow(run, WORD_ROWS)
@@ -317,15 +330,39 @@ def score(docs: DataFrame, train: str, order: int = 2, id_col: str = "doc_id", t
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `train` is a SQL condition
     that marks the rows to learn from. docs must be read from files, so that a second reading has the same splits (it
     is checked); another DataFrame is to be written to a table first."""
+    return _run(docs, train, order, id_col, text_col, piece_bytes, part_bytes)
+
+
+def fit(docs: DataFrame, path: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 6 << 20, part_bytes: int = 6 << 20) -> None:
+    """Learn from all rows and store the model under path: a table of words and one of n-grams for each order, both by
+    partition of the context, and a row of settings."""
+    _run(docs, "true", order, id_col, text_col, piece_bytes, part_bytes, save=path)
+
+
+def score_with(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 6 << 20) -> DataFrame:
+    """score() of rows that the stored model has not learned from; every row is held out."""
+    kept = docs.sparkSession.read.parquet(f"{path}/settings").first()
+    return _run(docs, "false", kept["order"], id_col, text_col, piece_bytes, 0, parts=kept["parts"], model=path)
+
+
+def _run(docs: DataFrame, train: str, order: int, id_col: str, text_col: str, piece_bytes: int, part_bytes: int, parts: int | None = None, save: str | None = None, model: str | None = None) -> DataFrame | None:
+    """save: store the model and score nothing; model: n-grams stored before join the documents' own in their partitions."""
     if order < 2:
         raise ValueError("the order must be two or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"coalesce({train}, false)").alias("train"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(4, math.ceil(size / part_bytes))
-
-    answers = scratch.table(_answers(_word_rows(docs, parts, piece_bytes), parts), "answers")
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        parts = max(4, math.ceil(size / part_bytes))
+    if save:
+        spark.createDataFrame([(order, parts)], "`order` int, parts int").write.parquet(f"{save}/settings")
+    also = lambda rows, level: rows.unionByName(spark.read.parquet(f"{model}/order-{level}")) if model else rows
+
+    answers = scratch.table(_answers(also(_word_rows(docs, parts, piece_bytes), 1), parts, save is not None), "answers")
+    if save:
+        answers.filter(F.col("piece") == MODEL).write.option("compression", "zstd").parquet(f"{save}/order-1")
+        answers = answers.filter(F.coalesce(F.col("piece") != MODEL, F.lit(True)))
     totals = answers.filter("piece is null").collect()  # a row a partition
     stats = sum((np.frombuffer(bytes(r["hashes"]), "<i8") for r in totals), np.zeros(CUT + 3, np.int64))
     unigrams = Unigrams(int(stats[0]), int(stats[1]), stats[2:])
@@ -376,13 +413,13 @@ def score(docs: DataFrame, train: str, order: int = 2, id_col: str = "doc_id", t
 
     for level in range(2, order + 1):
         # an RDD, because two jobs read one shuffle of it: the first for counts of counts, the second for the answers
-        asked = asking(level).repartitionById(parts, F.col("p")).rdd
+        asked, last = also(asking(level), level).repartitionById(parts, F.col("p")).rdd, level == order
 
-        def look(rows: Iterator, level: int = level) -> Iterator[tuple]:
-            table = Table([(r["piece"], bytes(r["body"])) for r in rows if r["kind"] == 0], level, unigrams)
+        def look(rows: Iterator, level: int = level, last: bool = last) -> Iterator[tuple]:
+            table = Table([(r["piece"], bytes(r["body"])) for r in rows if r["kind"] == 0], level, unigrams, last)
             shared = np.flatnonzero(np.isin(table.contexts, heavy[level]))
             vectors = table.vectors()
-            more = table.frequent(least) if level < order else np.zeros(0, U64)
+            more = np.zeros(0, U64) if last else table.frequent(least)
             yield table.count_of_counts().tolist(), [(int(table.contexts[i]), vectors[i].tolist()) for i in shared], more.tolist()
 
         looks = asked.mapPartitions(look).collect()
@@ -393,14 +430,23 @@ def score(docs: DataFrame, train: str, order: int = 2, id_col: str = "doc_id", t
                 shared[context] = shared.get(context, 0) + np.array(v)
         heavy[level + 1] = np.array([int(START), *(c for _, _, more in looks for c in more)], np.uint64)
 
-        def answer(rows: Iterator, level: int = level, discounts: Discounts = discounts, shared: dict = shared) -> Iterator[tuple]:
+        def store(rows: Iterator, level: int = level, last: bool = last) -> Iterator[tuple]:
+            rows = [(r["p"], r["piece"], bytes(r["body"])) for r in rows if r["kind"] == 0]
+            if rows:
+                yield int(rows[0][0]), MODEL, 0, Table([r[1:] for r in rows], level, unigrams, last).stored(level)
+
+        if save:
+            spark.createDataFrame(asked.mapPartitions(store), PAIR_ROWS).write.option("compression", "zstd").parquet(f"{save}/order-{level}")
+
+        def answer(rows: Iterator, level: int = level, discounts: Discounts = discounts, shared: dict = shared, last: bool = last) -> Iterator[tuple]:
             rows = [(r["p"], r["piece"], r["kind"], bytes(r["body"])) for r in rows]
-            table = Table([(piece, body) for _, piece, kind, body in rows if not kind], level, unigrams)
+            table = Table([(piece, body) for _, piece, kind, body in rows if not kind], level, unigrams, last)
             logs = table.log_probabilities(discounts, shared)
-            if level < order:
+            if not last:
                 values, at = 10 ** logs[table.rank], 0
                 for piece, n in zip(table.pieces, table.sizes, strict=True):
-                    yield int(rows[0][0]), int(piece), values[at : at + n].astype("<f8").tobytes()
+                    if piece != MODEL:
+                        yield int(rows[0][0]), int(piece), values[at : at + n].astype("<f8").tobytes()
                     at += n
                 return
             owners, index = np.unique(table.owner, return_inverse=True)
@@ -413,10 +459,13 @@ def score(docs: DataFrame, train: str, order: int = 2, id_col: str = "doc_id", t
                     yield 1, piece, body
 
         found = asked.mapPartitions(answer)
-        if level < order:
+        if not last:
             folders[level] = scratch.path(f"by-piece-{level}")
             _by_piece(spark.createDataFrame(found, ANSWERS), folders[level])
 
+    if save:
+        scratch.drop(*(f"by-piece-{k}" for k in folders))
+        return None
     # a row a piece and partition; documents become rows only when their sums are whole
     sums = spark.createDataFrame(found, "kind int, piece long, body binary")
     scored = scratch.table(sums.groupBy("piece").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")

@@ -371,6 +371,16 @@ def test_katz_against_brute_force(docs, texts, order, part):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (tokens, known, n, i % 5 == 1)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_stored_model(spark, docs, texts, order, tmp_path):
+    katz.fit(docs.filter("doc_id % 5 <> 1"), f"file://{tmp_path}/model", order, piece_bytes=2000, part_bytes=3000)
+    both = {r["doc_id"]: r for r in katz.score(docs, "doc_id % 5 <> 1", order, piece_bytes=2000, part_bytes=3000).collect()}
+    for r in katz.score_with(docs, f"file://{tmp_path}/model", piece_bytes=5000).collect():
+        own = both[r["doc_id"]]
+        assert (r["score"], r["base_score"]) == pytest.approx((own["score"], own["base_score"])) and r["held_out"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (own["n_tokens"], own["n_known"], own["train_tokens"])
+
+
 def test_katz_refuses_other_splits(spark, docs):
     piece = katz.Piece(*common.text_buffers(pa.array(["a b", "c"])), np.ones(2, bool), 4)
     folder = spark.conf.get("spark.checkpoint.dir") + "/katz-splits"
