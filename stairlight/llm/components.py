@@ -59,7 +59,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, small: int = SMALL
     smallest vertices."""
     held = scratch.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     if held.count() <= small:
-        return scratch.table(_in_one_task(held), name)
+        found = scratch.table(_in_one_task(held), name)
+        scratch.drop(f"{name}-0")
+        return found
     state, step = None, 0
     while True:
         now = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
             fresh = _linked(dealt.join(members.select(F.col("doc_id").alias("member"), "sig", "text"), "member"), least, shingle, percent)
         links = scratch.table(fresh if links is None else links.unionByName(fresh), f"links-{turn}")
         labels = components(links, scratch, f"components-{turn}")
-        scratch.drop(f"pairs-{turn}", f"links-{turn - 1}")
+        scratch.drop(f"pairs-{turn}", f"links-{turn - 1}", f"components-{turn - 1}")
     scratch.drop("members", "met", "left", "work", *(f"open-{t}" for t in range(rounds + 1)))
 
     out = sets.join(classes.withColumnRenamed("n", "n_"), ["hi", "lo"], "left")
