@@ -210,6 +210,31 @@ def hazard_ratios(spark, d):
     return cox.hazard_ratios(ipd(spark, d), legend(spark, d))
 
 
+ARMS = """ipd AS (SELECT 'fig' || (user_id % 4) AS image_id, CASE WHEN event_type IN ('view', 'error', 'signup') THEN 'a' ELSE 'b' END AS series, value AS time, CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END AS status FROM events)"""
+NEWTON = f"""WITH RECURSIVE {COX.replace(IPD, ARMS)}, w AS (SELECT image_id, time, max(CASE WHEN series = 'a' THEN n_risk END)::DOUBLE AS n0, max(CASE WHEN series = 'b' THEN n_risk END)::DOUBLE AS n1, max(CASE WHEN series = 'a' THEN n_event END)::DOUBLE AS d0, max(CASE WHEN series = 'b' THEN n_event END)::DOUBLE AS d1 FROM sets GROUP BY ALL),
+terms AS (SELECT image_id, n0 - l / (d0 + d1) * d0 AS a, n1 - l / (d0 + d1) * d1 AS b FROM (SELECT *, unnest(range(0, (d0 + d1)::BIGINT)) AS l FROM w)), seen AS (SELECT image_id, sum(d1) AS d FROM w GROUP BY image_id),
+go AS (SELECT image_id, 0 AS k, 0.0::DOUBLE AS beta FROM seen
+  UNION ALL SELECT g.image_id, g.k + 1, g.beta + (any_value(d) - sum(b * exp(beta) / (a + b * exp(beta)))) / sum(b * exp(beta) / (a + b * exp(beta)) * (1 - b * exp(beta) / (a + b * exp(beta)))) FROM go g JOIN terms t ON g.image_id = t.image_id JOIN seen s ON s.image_id = g.image_id WHERE g.k < 12 GROUP BY g.image_id, g.k, g.beta),
+fin AS (SELECT g.image_id, beta, 1 / sqrt(sum(b * exp(beta) / (a + b * exp(beta)) * (1 - b * exp(beta) / (a + b * exp(beta))))) AS se FROM go g JOIN terms t ON g.image_id = t.image_id WHERE k = 12 GROUP BY g.image_id, beta)
+SELECT image_id, 'b' AS series, round(exp(beta), 6) AS estimate, round(exp(beta - {Z}::DOUBLE * se), 6) AS lower, round(exp(beta + {Z}::DOUBLE * se), 6) AS upper FROM fin"""
+
+
+@query(NEWTON)
+def hazard_ratio_arms(spark, d):
+    """All patients in two arms; the SQL takes twelve Newton steps."""
+    arms = ipd(spark, d).withColumn("series", F.when(F.col("series").isin("view", "error", "signup"), "a").otherwise("b"))
+    named = arms.select("image_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(1, "a", "#dc3030", True), (2, "b", "#3030a0", False)], "ord int, series string, color string, reference boolean")))
+    return rounded(cox.hazard_ratios(arms, named).drop("p_value"))
+
+
+@query(f"WITH {RISK}, {LEGEND} SELECT r.image_id, l.ord::INT AS ord, patients::INT AS patients, r.series, x FROM risk r JOIN legend l ON r.image_id = l.image_id AND r.series = l.series")
+def risk_rows(spark, d):
+    """The risk table of a spec whose lists are in no order."""
+    lists = risk_of(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("series", "x").alias("h"), "series", "x", "patients"))).alias("r"))
+    inputs = lists.select("image_id", F.col("r.patients").alias("risk_patients"), F.col("r.series").alias("risk_series"), F.col("r.x").alias("risk_x"))
+    return validate.risk_table(inputs, legend(spark, d).filter("series <> 'none'"))
+
+
 def scaled_of(spark: SparkSession, d: str) -> DataFrame:
     fitted = km.fit(ipd(spark, d))
     start = ipd(spark, d).select("image_id", "series", F.lit(0.0).alias("x"), F.lit(1.0).alias("y")).distinct()
@@ -382,6 +407,20 @@ fin AS (SELECT image_id, unnest(kept) AS k FROM go WHERE k = last)
 SELECT n.image_id, mode, ord, word, confidence, x1, x2, y1, y2, x, y FROM n JOIN fin ON n.image_id = fin.image_id AND n.k = fin.k"""
 
 
+@query(
+    """WITH raw AS (SELECT 's' || l_suppkey AS image_id, (l_linenumber % 3)::INT AS mode, l_orderkey::INT AS ord, CASE WHEN l_linenumber % 3 = 0 THEN '-' || (l_partkey % 100) ELSE (l_partkey % 1000) || CASE WHEN l_orderkey % 5 = 0 THEN 'x' ELSE '' END END AS word, (l_partkey % 100)::DOUBLE AS confidence,
+  round_even((l_partkey + 1) / 4.0::DOUBLE, 0)::INT AS x1, round_even((l_partkey + l_linenumber + 1) / 4.0::DOUBLE, 0)::INT AS x2, round_even((l_suppkey + 1) / 4.0::DOUBLE, 0)::INT AS y1, round_even((l_suppkey + l_linenumber + 1) / 4.0::DOUBLE, 0)::INT AS y2 FROM lineitem)
+SELECT image_id, mode, ord, replace(word, '-', '') AS word, confidence, x1, x2, y1, y2, (x1 + x2) / 2.0::DOUBLE AS x, (y1 + y2) / 2.0::DOUBLE AS y FROM raw WHERE confidence >= 60 AND regexp_full_match(replace(word, '-', ''), '[0-9]*\\.?[0-9]+')"""
+)
+def findings(spark, d):
+    """Raw words as findings: confident numbers without hyphens, boxes scaled back, with centroids."""
+    l = read(spark, d, "lineitem")
+    word = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("-"), F.col("l_partkey") % 100)).otherwise(F.concat(F.col("l_partkey") % 1000, F.when(F.col("l_orderkey") % 5 == 0, "x").otherwise("")))
+    box = F.concat_ws(",", F.col("l_partkey"), F.col("l_suppkey"), F.col("l_partkey") + F.col("l_linenumber"), F.col("l_suppkey") + F.col("l_linenumber"))
+    raw = l.select(F.concat(F.lit("s"), "l_suppkey").alias("image_id"), (F.col("l_linenumber") % 3).cast("int").alias("mode"), F.col("l_orderkey").cast("int").alias("ord"), word.alias("word"), (F.col("l_partkey") % 100).cast("double").alias("confidence"), box.alias("bbox"))
+    return ocr.findings(raw, confidence=60)
+
+
 @query(POOL)
 def pool_findings(spark, d):
     """Greedy: a finding goes when a kept one before it overlaps it."""
@@ -722,6 +761,28 @@ def raster_grayscale(spark, d):
     return raster.pixels(raster.grayscale(rasters_of(spark, d)))
 
 
+@query(f"""WITH RECURSIVE {LAB}{FULL[len(PIX):]}, big AS (SELECT image_id, component FROM lab GROUP BY ALL HAVING max(y) - min(y) + 1 >= 0.15::DOUBLE * 50 OR max(x) - min(x) + 1 >= 0.15::DOUBLE * 64),
+gone AS (SELECT DISTINCT lab.image_id, x + dx AS x, y + dy AS y FROM lab JOIN big ON lab.image_id = big.image_id AND lab.component = big.component CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS dx) CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS dy))
+SELECT w.image_id, w.x, w.y, CASE WHEN g.x IS NULL THEN color ELSE '#ffffff' END AS color FROM whole w LEFT JOIN gone g ON w.image_id = g.image_id AND w.x = g.x AND w.y = g.y""")
+def raster_clean_for_text(spark, d):
+    return raster.pixels(raster.clean_for_text(rasters_of(spark, d)))
+
+
+SCALED = """pts AS (SELECT image_id, CASE WHEN color = '#dc3030' THEN 'a' ELSE 'b' END AS series, 0.25::DOUBLE * x - 1 AS x, 100 - 2.0::DOUBLE * y AS y FROM fg)"""
+
+
+@query(f"""WITH {FG}, {SCALED}, {HOW[HOW.index('how AS'):]}, s AS (SELECT p.image_id, series, x, CASE WHEN increasing THEN 1 - y / max_y ELSE y / max_y END AS y, max_y, increasing FROM pts p JOIN how h ON p.image_id = h.image_id)
+SELECT image_id, series, round(x, 6) AS x, round(y, 6) AS y, max_y, increasing FROM s WHERE x >= 0 UNION ALL SELECT DISTINCT image_id, series, 0.0::DOUBLE, 1.0::DOUBLE, max_y, increasing FROM s""")
+def scale_path(spark, d):
+    """Pixels of two colours to (time, survival) by two ticks an axis and the legend."""
+    path = pixels.foreground(pixel_table(spark, d))
+    images = path.select("image_id").distinct()
+    make = lambda rows, schema: images.crossJoin(F.broadcast(spark.createDataFrame(rows, schema)))
+    axes = make([(0.0, 4.0), (15.0, 64.0)], "value double, x double"), make([(0.0, 50.0), (100.0, 0.0)], "value double, y double")
+    named = make([("a", "#dc3030", 1), ("b", "#3030a0", 2)], "series string, color string, ord int")
+    return rounded(scale.scale(path, *axes, named))
+
+
 @query()
 def raster_line_width(spark, d):
     return raster.line_widths(rasters_of(spark, d))
