@@ -398,13 +398,18 @@ def findings_of(spark: SparkSession, d: str) -> DataFrame:
     return l.select("image_id", (F.col("box") % 3).cast("int").alias("mode"), (F.col("box") % 1000003).cast("int").alias("ord"), (F.col("box") % 97).cast("string").alias("word"), (F.lit(40.0) + F.col("box") % 61).alias("confidence"), "x1", "x2", "y1", "y2", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
 
 
-POOL = f"""WITH RECURSIVE {BOXES}, f AS (SELECT image_id, (box % 3)::INT AS mode, (box % 1000003)::INT AS ord, (box % 97)::VARCHAR AS word, (40.0::DOUBLE + box % 61) AS confidence, x1, x2, y1, y2, (x1 + x2) / 2.0::DOUBLE AS x, (y1 + y2) / 2.0::DOUBLE AS y FROM boxes),
-n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, mode, ord, x1, y1, x2, y2) AS k FROM f),
-hits AS (SELECT b.image_id, b.k, list(a.k) AS before FROM n a JOIN n b ON a.image_id = b.image_id AND a.k < b.k AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY ALL),
-go AS (SELECT n.image_id, 0::BIGINT AS k, []::BIGINT[] AS kept, max(n.k) AS last FROM n GROUP BY n.image_id
-  UNION ALL SELECT go.image_id, go.k + 1, CASE WHEN h.before IS NULL OR NOT list_has_any(h.before, go.kept) THEN list_append(go.kept, go.k + 1) ELSE go.kept END, go.last FROM go LEFT JOIN hits h ON h.image_id = go.image_id AND h.k = go.k + 1 WHERE go.k < go.last),
-fin AS (SELECT image_id, unnest(kept) AS k FROM go WHERE k = last)
-SELECT n.image_id, mode, ord, word, confidence, x1, x2, y1, y2, x, y FROM n JOIN fin ON n.image_id = fin.image_id AND n.k = fin.k"""
+# greedy in rounds: a finding stays when all overlapping ones before it are known to go, and goes when one of them stays; the
+# rounds are more than the longest chain of overlaps
+_ROUNDS = ", ".join(
+    f"""keep{r} AS MATERIALIZED (SELECT image_id, k FROM n WHERE NOT EXISTS (SELECT 1 FROM e LEFT JOIN gone{r - 1} g ON g.image_id = e.image_id AND g.k = e.a WHERE e.image_id = n.image_id AND e.b = n.k AND g.k IS NULL)),
+gone{r} AS MATERIALIZED (SELECT DISTINCT e.image_id, e.b AS k FROM e JOIN keep{r} s ON s.image_id = e.image_id AND s.k = e.a)"""
+    for r in range(1, 13)
+)
+POOL = f"""WITH {BOXES}, f AS (SELECT image_id, (box % 3)::INT AS mode, (box % 1000003)::INT AS ord, (box % 97)::VARCHAR AS word, (40.0::DOUBLE + box % 61) AS confidence, x1, x2, y1, y2, (x1 + x2) / 2.0::DOUBLE AS x, (y1 + y2) / 2.0::DOUBLE AS y FROM boxes),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, mode, ord, x1, y1, x2, y2) AS k FROM f),
+e AS MATERIALIZED (SELECT a.image_id, a.k AS a, b.k AS b FROM n a JOIN n b ON a.image_id = b.image_id AND a.k < b.k AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1),
+gone0 AS (SELECT image_id, k FROM n WHERE false), {_ROUNDS}
+SELECT n.image_id, mode, ord, word, confidence, x1, x2, y1, y2, x, y FROM n JOIN keep12 s ON n.image_id = s.image_id AND n.k = s.k"""
 
 
 @query(
