@@ -271,7 +271,7 @@ class Items:
             keep = self._near(words, first, doc, item, begin)
             # of items that allow no edit the first copy in a document is enough
             copy = np.flatnonzero(keep & (self.slack[item] == 0))
-            copy = copy[[begin[c] >= first[doc[c]] and np.array_equal(words[begin[c] : begin[c] + self.lengths[item[c]]], self.symbols[item[c]]) for c in copy]] if len(copy) else copy
+            copy = copy[[begin[c] >= first[doc[c]] and begin[c] + self.lengths[item[c]] <= first[doc[c] + 1] and np.array_equal(words[begin[c] : begin[c] + self.lengths[item[c]]], self.symbols[item[c]]) for c in copy]] if len(copy) else copy
             keep[self.slack[item] == 0] = False
             keep[copy[np.unique(np.stack([doc[copy], item[copy]], 1), axis=0, return_index=True)[1]]] = True
             asked |= set(zip(doc[keep].tolist(), item[keep].tolist(), begin[keep].tolist(), strict=True))
