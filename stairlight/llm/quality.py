@@ -83,7 +83,8 @@ def fit(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 6, rate
         for i in rng.permutation(len(rows)):
             buckets, weights = rows[i]
             pace = rate * (1 - done / steps)
-            hidden = weights @ vectors[buckets]
+            own = vectors[buckets]  # a document's buckets are distinct
+            hidden = weights @ own
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -92,8 +93,9 @@ def fit(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 6, rate
             seen_layer += float((outer**2).sum())
             layer -= pace * outer / np.sqrt(seen_layer)
             bias -= 0.05 * pace * p
-            seen[buckets] += weights**2 * float(back @ back)
-            vectors[buckets] -= (pace * weights / np.sqrt(seen[buckets]))[:, None] * back
+            had = seen[buckets] + weights**2 * float(back @ back)
+            seen[buckets] = had
+            vectors[buckets] = own - (pace * weights / np.sqrt(had))[:, None] * back
             done += 1
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0])
 
