@@ -107,12 +107,10 @@ def survival(scaled: DataFrame, risk: DataFrame, events: DataFrame | None = None
 
     def run(batches):
         for pdf in batches:
-            out = []
             for r in pdf.itertuples():
                 x, y = (np.array([p[k] for p in r.curve], float) for k in ("x", "y"))
                 found = invert(x, y, np.array([p["x"] for p in r.risk]), np.array([p["patients"] for p in r.risk]), None if pd.isna(r.total) else int(r.total))
-                out.append(found.assign(image_id=r.image_id, ord=r.ord, series=r.series))
-            if out:
-                yield pd.concat(out)[["image_id", "ord", "series", "time", "status"]]
+                # a series at a time: a batch's may be all patients there are
+                yield found.assign(image_id=r.image_id, ord=r.ord, series=r.series)[["image_id", "ord", "series", "time", "status"]]
 
     return rows.select("image_id", "ord", "series", "curve", "risk", "total").mapInPandas(run, TABLES["survival"])

@@ -73,6 +73,11 @@ def painted(points: DataFrame, legend: DataFrame) -> DataFrame:
 def layer_survival(data: DataFrame, how: DataFrame, x_axis: DataFrame, y_axis: DataFrame, legend: DataFrame, censoring: bool = False) -> DataFrame:
     """Pixels of all curves (and censor marks). how: image_id, max_y, increasing, width, height, line_width. With
     marks the curves are one pixel wide."""
+    return painted(curves(data, how, x_axis, y_axis, censoring), legend)
+
+
+def curves(data: DataFrame, how: DataFrame, x_axis: DataFrame, y_axis: DataFrame, censoring: bool = False) -> DataFrame:
+    """Each curve's own pixels (image_id, series, x, y), repeated where its segments meet, before layers hide any."""
     lines = segments(to_pixels(steps(data, how), x_axis, y_axis)).join(how, "image_id")
     half = F.lit(0) if censoring else F.greatest(F.lit(0), F.floor(F.col("line_width") / 2).cast("int"))
     out = fill(lines, half, F.col("width"), F.col("height")).select(*KEY, "x", "y")
@@ -81,7 +86,7 @@ def layer_survival(data: DataFrame, how: DataFrame, x_axis: DataFrame, y_axis: D
         reach = F.greatest(F.lit(2), F.rint(F.col("height") / 100).cast("int"))
         marks = marks.select(*KEY, "width", "height", F.col("x").alias("x1"), (F.col("y") - reach).alias("y1"), F.col("x").alias("x2"), (F.col("y") + reach).alias("y2"))
         out = out.unionByName(fill(marks, F.lit(0), F.col("width"), F.col("height")).select(*KEY, "x", "y"))
-    return painted(out, legend)
+    return out
 
 
 def layer_trace(scaled: DataFrame, how: DataFrame, x_axis: DataFrame, y_axis: DataFrame, legend: DataFrame) -> DataFrame:

@@ -806,24 +806,62 @@ def rendered_paths(spark, d):
     return raster.paths(raster.from_pixels(drawn, how_of(spark, d).select("image_id", "height", "width"), "#ffffff"))
 
 
-def figures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rasters with axes, labels and inputs for the patients' figures: five arms on a canvas of 240 x 160."""
+FIGURE_ARMS = {"view": "#dc3030", "click": "#3030a0", "error": "#30a030", "purchase": "#a0a030", "signup": "#30a0a0"}
+
+
+def _sheet(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """How the patients' figures are drawn, and their axes: a canvas of 240 x 160, columns 30 and 190 are times 0 and 640."""
     named = ipd(spark, d).select("image_id").distinct()
     how = how_of(spark, d).withColumn("width", F.lit(240)).withColumn("height", F.lit(160)).withColumn("increasing", F.lit(False))
     make = lambda rows, c: named.crossJoin(F.broadcast(spark.createDataFrame(rows, f"value double, {c} double")))
-    axes = make([(0.0, 30.0), (640.0, 190.0)], "x"), make([(0.0, 140.0), (100.0, 12.0)], "y")
-    arms = legend(spark, d).filter("series <> 'none'").withColumn("layer", F.col("ord"))
-    curves = render.layer_survival(ipd(spark, d), how, *axes, arms)
+    return how, (make([(0.0, 30.0), (640.0, 190.0)], "x"), make([(0.0, 140.0), (100.0, 12.0)], "y"))
+
+
+def _figure(spark: SparkSession, curves: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rasters of the curves with both axes, and the labels of their ticks, for the images in `named`."""
     lines = spark.range(27, 236).select(F.col("id").cast("int").alias("x"), F.lit(143).alias("y")).unionByName(spark.range(5, 144).select(F.lit(27).alias("x"), F.col("id").cast("int").alias("y")))
     ink = named.crossJoin(F.broadcast(lines.withColumn("color", F.lit("#000000"))))
-    image = raster.from_pixels(curves.filter("x > 29 and y < 141").unionByName(ink), how.select("image_id", "height", "width"), "#ffffff")
+    image = raster.from_pixels(curves.filter("x > 29 and y < 141").unionByName(ink), named.select("image_id", F.lit(160).alias("height"), F.lit(240).alias("width")), "#ffffff")
     ticks = [("A", "0", 30.0, 148.0), ("B", "640", 190.0, 148.0), ("C", "0", 20.0, 140.0), ("D", "100", 20.0, 12.0)]
-    label = named.crossJoin(F.broadcast(spark.createDataFrame([(n, w, 90.0, x, y, int(x) - 3, int(x) + 3, int(y) - 2, int(y) + 2) for n, w, x, y in ticks], "label string, word string, confidence double, x double, y double, x1 int, x2 int, y1 int, y2 int")))
+    return image, named.crossJoin(F.broadcast(spark.createDataFrame([(n, w, 90.0, x, y, int(x) - 3, int(x) + 3, int(y) - 2, int(y) + 2) for n, w, x, y in ticks], "label string, word string, confidence double, x double, y double, x1 int, x2 int, y1 int, y2 int")))
+
+
+def _inputs(spark: SparkSession, own: DataFrame) -> DataFrame:
+    """The judgment inputs that all figures share, beside those of each image in `own`."""
+    shared = specs.rows(spark, {"-": {"x_label": ["A", "B"], "x_value": [0.0, 640.0], "y_label": ["C", "D"], "y_value": [0.0, 100.0], "background": "#ffffff", "garbage": ["#000000"], "series": list(FIGURE_ARMS.values()), "series_names": list(FIGURE_ARMS), "reference": "click"}})
+    return own.crossJoin(F.broadcast(shared.drop(*own.columns)))
+
+
+def figures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rasters with axes, labels and inputs for the patients' figures: five arms on a canvas."""
+    how, axes = _sheet(spark, d)
+    arms = legend(spark, d).filter("series <> 'none'").withColumn("layer", F.col("ord"))
+    image, label = _figure(spark, render.layer_survival(ipd(spark, d), how, *axes, arms), how.select("image_id"))
     at_risk = km.numbers_at_risk(ipd(spark, d), [0.0, 100.0, 200.0])
     lists = at_risk.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("series", "x", F.col("patients").cast("int").alias("patients")))).alias("r"))
-    inputs = specs.rows(spark, {"-": {"x_label": ["A", "B"], "x_value": [0.0, 640.0], "y_label": ["C", "D"], "y_value": [0.0, 100.0], "background": "#ffffff", "garbage": ["#000000"], "series": ["#dc3030", "#3030a0", "#30a030", "#a0a030", "#30a0a0"], "series_names": ["view", "click", "error", "purchase", "signup"], "reference": "click"}}).drop("image_id", "risk_patients", "risk_series", "risk_x")
-    inputs = lists.select("image_id", F.col("r.patients").alias("risk_patients"), F.col("r.series").alias("risk_series"), F.col("r.x").alias("risk_x")).crossJoin(F.broadcast(inputs))
-    return image, label, inputs
+    return image, label, _inputs(spark, lists.select("image_id", F.col("r.patients").alias("risk_patients"), F.col("r.series").alias("risk_series"), F.col("r.x").alias("risk_x")))
+
+
+def fronted(spark: SparkSession, d: str, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same figures once for each of their arms, `image/arm`, with that arm in front: arms may lie within a line's width
+    of each other, and of one that others cover a figure shows nothing or not the end. Inputs name the arms that show; those
+    behind come with no patients, so that each arm's are read once, from the figure that shows it whole."""
+    how, axes = _sheet(spark, d)
+    points = keep(render.curves(ipd(spark, d), how, *axes).distinct(), "points")
+    arms = F.create_map(*[F.lit(v) for i, (s, c) in enumerate(FIGURE_ARMS.items()) for v in (s, F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("color")))])
+    pairs = points.select("image_id", "series").distinct()
+    pairs = pairs.join(pairs.select("image_id", F.col("series").alias("front")), "image_id").select("image_id", F.concat("image_id", F.lit("/"), "front").alias("figure"), "series", "front", arms[F.col("series")].alias("arm"))
+    layers = pairs.select(F.col("figure").alias("image_id"), "series", "arm.color", F.when(F.col("series") == F.col("front"), 0).otherwise(F.col("arm.ord")).alias("layer"))
+    drawn = keep(render.painted(points.join(pairs, ["image_id", "series"]).select(F.col("figure").alias("image_id"), "series", "x", "y"), layers), "drawn")
+    image, label = _figure(spark, drawn, drawn.select("image_id").distinct())
+    shown = drawn.filter("x > 29 and y < 141").select(F.col("image_id").alias("figure"), "color").distinct()
+    counts = km.numbers_at_risk(ipd(spark, d), [0.0, 100.0, 200.0]).groupBy("image_id", "series").agg(F.sort_array(F.collect_list(F.struct("x", F.col("patients").cast("int").alias("patients")))).alias("own"))
+    none = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0).alias("patients")))
+    rows = pairs.join(counts, ["image_id", "series"]).withColumn("color", F.col("arm.color")).join(shown, ["figure", "color"])
+    rows = rows.groupBy("figure", "front").agg(F.sort_array(F.collect_list(F.struct("arm.ord", "color", "series", F.when(F.col("series") == F.col("front"), F.col("own")).otherwise(none).alias("risk")))).alias("a"))
+    risk = F.flatten(F.transform("a", lambda a: F.transform(a["risk"], lambda r: F.struct(r["x"].alias("x"), r["patients"].alias("patients"), a["series"].alias("series")))))
+    rows = rows.withColumn("r", risk).select(F.col("figure").alias("image_id"), F.col("a.color").alias("series"), F.col("a.series").alias("series_names"), F.col("front").alias("reference"), *[F.col(f"r.{c}").alias(f"risk_{c}") for c in ("patients", "series", "x")])
+    return image, label, _inputs(spark, rows)
 
 
 def _canvas(sql: str) -> str:
@@ -845,8 +883,11 @@ def distill_counts(spark, d):
 
 @query()
 def reconstruct(spark, d):
-    """The whole way: drawn figures to patients."""
+    """The whole way: drawn figures to patients, every arm from the figure that has it in front."""
     from .reconstruct import Engine
 
-    image, label, inputs = figures(spark, d)
-    return Engine(spark).reconstruct(image, inputs, findings=label)
+    engine = Engine(spark)
+    image, label, inputs = fronted(spark, d, engine._keep)
+    found = engine.reconstruct(image, inputs, findings=label)
+    order = F.array_position(F.array(*[F.lit(s) for s in FIGURE_ARMS]), F.col("series")).cast("int")
+    return found.select(F.expr("left(image_id, length(image_id) - length(series) - 1)").alias("image_id"), order.alias("ord"), "series", "time", "status")

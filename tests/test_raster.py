@@ -1,6 +1,7 @@
 """Raster kernels, pixel relations, labels, rendering, sources and the whole pipeline on synthetic images."""
 
 import heapq
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stairlight.functions import colors, text
 from stairlight.operators import calibrate, kernels as K, ocr, pixels, raster, render
+from stairlight.plans import queries
 from stairlight.plans.reconstruct import Engine, distill
 from stairlight.schemas import TABLES, DataError
 from stairlight.sources import images, png, sinks, spec as specs
@@ -377,6 +379,28 @@ def test_engine_end_to_end(spark, tmp_path):
             sinks.write_csv({}, bad)
 
 
+def events(spark, folder, arms):
+    """arms: (user_id, series) -> times; every third patient is censored, alike in all arms."""
+    rows, ids = [], 0
+    for (user, series), times in arms.items():
+        rows += [(3 * (ids + i) + (i % 3), user, series, float(t)) for i, t in enumerate(times)]
+        ids += len(times)
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_reconstruct_reads_arms_that_others_cover(spark, tmp_path):
+    times = [round(-50 * math.log(1 - (i + 0.5) / 90), 2) for i in range(90)]
+    arms = {(4, s): times for s in ("view", "click", "error", "purchase", "signup")} | {(5, "view"): times, (5, "signup"): times}
+    rows = queries.reconstruct(spark, events(spark, tmp_path, arms)).collect()
+    found = {}
+    for r in rows:
+        found.setdefault((r["image_id"], r["ord"], r["series"]), []).append((r["time"], r["status"]))
+    assert sorted(found) == [("fig0", 1, "view"), ("fig0", 2, "click"), ("fig0", 3, "error"), ("fig0", 4, "purchase"), ("fig0", 5, "signup"), ("fig1", 1, "view"), ("fig1", 5, "signup")]
+    assert all(sorted(v) == sorted(found["fig0", 1, "view"]) and len(v) == 90 for v in found.values())
+    assert np.median([t for t, _ in found["fig0", 5, "signup"]]) == pytest.approx(np.median(times), abs=8)
+
+
 def test_layers(spark):
     data = spark.createDataFrame([("a", "s", 5.0, 1), ("a", "s", 10.0, 0)], "image_id string, series string, time double, status int")
     how = spark.createDataFrame([("a", 1.0, False, 20, 21, 1)], "image_id string, max_y double, increasing boolean, width int, height int, line_width int")
