@@ -818,10 +818,12 @@ def _sheet(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[DataFrame, Dat
 
 
 def _figure(spark: SparkSession, curves: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rasters of the curves with both axes, and the labels of their ticks, for the images in `named`."""
-    lines = spark.range(27, 236).select(F.col("id").cast("int").alias("x"), F.lit(143).alias("y")).unionByName(spark.range(5, 144).select(F.lit(27).alias("x"), F.col("id").cast("int").alias("y")))
+    """Rasters of the curves with both axes, and the labels of their ticks, for the images in `named`. The x axis ends one
+    column right of the curves' canvas: the panel, which ends with it, holds the latest times, and no fall of a curve there
+    is taken for the panel's right side."""
+    lines = spark.range(27, 242).select(F.col("id").cast("int").alias("x"), F.lit(143).alias("y")).unionByName(spark.range(5, 144).select(F.lit(27).alias("x"), F.col("id").cast("int").alias("y")))
     ink = named.crossJoin(F.broadcast(lines.withColumn("color", F.lit("#000000"))))
-    image = raster.from_pixels(curves.filter("x > 29 and y < 141").unionByName(ink), named.select("image_id", F.lit(160).alias("height"), F.lit(240).alias("width")), "#ffffff")
+    image = raster.from_pixels(curves.filter("x > 29 and y < 141").unionByName(ink), named.select("image_id", F.lit(160).alias("height"), F.lit(241).alias("width")), "#ffffff")
     ticks = [("A", "0", 30.0, 148.0), ("B", "640", 190.0, 148.0), ("C", "0", 20.0, 140.0), ("D", "100", 20.0, 12.0)]
     return image, named.crossJoin(F.broadcast(spark.createDataFrame([(n, w, 90.0, x, y, int(x) - 3, int(x) + 3, int(y) - 2, int(y) + 2) for n, w, x, y in ticks], "label string, word string, confidence double, x double, y double, x1 int, x2 int, y1 int, y2 int")))
 

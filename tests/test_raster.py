@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -401,6 +402,17 @@ def test_reconstruct_reads_arms_that_others_cover(spark, tmp_path):
     assert np.median([t for t, _ in found["fig0", 5, "signup"]]) == pytest.approx(np.median(times), abs=8)
 
 
+def test_distill_counts_keep_the_latest_times(spark, tmp_path):
+    times = [round(-50 * math.log(1 - (i + 0.5) / 90), 2) for i in range(90)]
+    late = times[:30] + [838.0] * 60  # falls in the canvas's last columns
+    arms = {(4, "view"): times, (4, "error"): [*times[:-1], 834.0], (5, "view"): times, (5, "click"): late, (6, "signup"): [*times, 2000.0]}
+    folder = events(spark, tmp_path, arms)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    expected = con.sql(f"select image_id, ord, series, n from ({queries.ORACLES['distill_counts']})").fetchall()
+    assert sorted(map(tuple, queries.distill_counts(spark, folder).select("image_id", "ord", "series", "n").collect())) == sorted(expected)
+
+
 def test_layers(spark):
     data = spark.createDataFrame([("a", "s", 5.0, 1), ("a", "s", 10.0, 0)], "image_id string, series string, time double, status int")
     how = spark.createDataFrame([("a", 1.0, False, 20, 21, 1)], "image_id string, max_y double, increasing boolean, width int, height int, line_width int")
