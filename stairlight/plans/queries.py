@@ -878,9 +878,10 @@ def _canvas(sql: str) -> str:
 SELECT i.image_id, lay.layer::INT AS ord, lay.series, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT image_id FROM ipd) i CROSS JOIN lay LEFT JOIN inside ON inside.image_id = i.image_id AND inside.color = lay.color""")
 def distill_counts(spark, d):
     """Calibrate, panel, mask, classify, clean and count, on all figures."""
-    from .reconstruct import distill
+    from .reconstruct import Engine, distill
 
-    return distill(*figures(spark, d))["counts"]
+    keep = Engine(spark)._keep  # or every rule and stage would plan, and draw, the figures again
+    return distill(*(keep(t, n) for t, n in zip(figures(spark, d), ("source", "label", "spec"), strict=True)), keep)["counts"]
 
 
 @query()
